@@ -126,8 +126,8 @@ def frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT ord, score FROM {_QUEUE} WHERE ord % 5 <> 0 UNION ALL"
-    f" SELECT ord + 10000000, score + 1000 FROM {_QUEUE} q WHERE q.ord % 5 = 0 AND NOT EXISTS (SELECT 1 FROM {_QUEUE} b WHERE b.vkey = q.vkey AND b.ord % 10 = 0)"
+    f"WITH k AS MATERIALIZED (SELECT * FROM {_QUEUE}) SELECT ord, score FROM k WHERE ord % 5 <> 0 UNION ALL"
+    f" SELECT ord + 10000000, score + 1000 FROM k WHERE ord % 5 = 0 AND vkey NOT IN (SELECT vkey FROM k WHERE ord % 10 = 0)"
 )
 def frontier_requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = FR.offer(_offers(spark, sf_dir))
