@@ -38,4 +38,4 @@ def pick(cases: list[str], number: Column) -> Column:
 
 
 def sql_pick(cases: list[str], number: str) -> str:
-    return f"([{', '.join(map(sql_text, cases))}])[({number} % {len(cases)}) + 1]"
+    return f"([{', '.join(map(sql_text, cases))}])[(({number}) % {len(cases)}) + 1]"
