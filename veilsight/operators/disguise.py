@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,28 +20,37 @@ PREFILTERS = {
 }
 
 
-def suppress_full(found: DataFrame, ancestors: DataFrame) -> DataFrame:
+def suppress_full(found: DataFrame, ancestors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Of found elements, those that rest on their children's text (``via_full``) go if a descendant is found."""
-    holding = ancestors.join(found.select(*FRAME, "e"), [*FRAME, "e"], "left_semi").select(*FRAME, F.col("anc").alias("e")).distinct()
-    kept = found.where("via_full").join(holding, [*FRAME, "e"], "left_anti")
+    key = [*FRAME, "e", *by]
+    holding = ancestors.join(found.select(*key), [*FRAME, "e"]).select(*FRAME, F.col("anc").alias("e"), *by).distinct()
+    kept = found.where("via_full").join(holding, key, "left_anti")
     return found.where("not via_full").unionByName(kept)
 
 
-def detect(name: str, holders: DataFrame, folder: str | None = None) -> DataFrame:
-    """Candidates of one text detector, with the columns of ``operators.hidden.detect``."""
-    technique, extra, _ = TEXT_DETECTORS[name]
+def _found(name: str, holders: DataFrame, folder: str | None) -> DataFrame:
     texts = holders.select(F.explode(F.array("t", "f")).alias("text")).where("text is not null and text <> ''").distinct()
     texts = texts.where(PREFILTERS[name]("text"))
     verdicts = texts.withColumn("v", verdict_udf(name, folder)("text")).where("v.hit").select("text", "v")
-    own = holders.select(*FRAME, "e", "ph", "t", "f").join(verdicts.select(F.col("text").alias("t"), F.col("v").alias("own")), "t", "left")
+    own = holders.select(*FRAME, "e", "t", "f").join(verdicts.select(F.col("text").alias("t"), F.col("v").alias("own")), "t", "left")
     both = own.join(verdicts.select(F.col("text").alias("f"), F.col("v").alias("full")), "f", "left").where("own is not null or full is not null")
-    found = both.withColumn("via_full", F.col("own").isNull()).withColumn("v", F.coalesce("own", "full"))
-    found = found.withColumn("evidence", F.when(F.col("via_full"), F.col("f")).otherwise(F.col("t")))
-    chain = holders.select(*FRAME, "e", F.col("ph").alias("p"))
-    out = suppress_full(found.select(*FRAME, "e", "via_full", "v", "evidence"), closure(chain))
-    return out.select(
-        *FRAME, "e", F.lit(technique).alias("technique"), F.lit(extra).cast("string").alias("extra_type"), X.evidence("evidence").alias("evidence_text"),
-        "v.decoded", "v.method", "v.reasons", "v.keywords",
+    return both.select(
+        *FRAME, "e", F.lit(name).alias("detector"), F.col("own").isNull().alias("via_full"), F.coalesce("own", "full").alias("v"),
+        F.when(F.col("own").isNull(), F.col("f")).otherwise(F.col("t")).alias("evidence"),
     )
 
 
+def detect(names: list[str], holders: DataFrame, folder: str | None = None) -> DataFrame:
+    """Candidates of text detectors, with the columns of ``operators.hidden.detect``.
+
+    Only frames in which something is found are walked up, once for all detectors.
+    """
+    found = reduce(DataFrame.unionByName, [_found(n, holders, folder) for n in names]).persist()  # read three times, few rows
+    full = found.where("via_full").select(*FRAME).distinct()
+    chain = holders.select(*FRAME, "e", F.col("ph").alias("p")).join(full, FRAME, "left_semi")
+    out = suppress_full(found, closure(chain), ("detector",))
+    of = lambda k: F.coalesce(*[F.when(F.col("detector") == n, TEXT_DETECTORS[n][k]) for n in names]).cast("string")
+    return out.select(
+        *FRAME, "e", "detector", of(0).alias("technique"), of(1).alias("extra_type"), X.evidence("evidence").alias("evidence_text"),
+        "v.decoded", "v.method", "v.reasons", "v.keywords",
+    )

@@ -88,14 +88,5 @@ def locate(candidates: DataFrame, selectors: DataFrame) -> DataFrame:
     return candidates.join(selectors.where("location is not null"), ["page_id", "frame_id", "e"])
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    """Candidates of all detectors, numbered by detector."""
-    out = None
-    for n, part in enumerate(parts):
-        part = part.withColumn("detector", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("technique").agg(F.count("*").alias("n"))

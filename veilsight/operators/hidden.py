@@ -85,10 +85,10 @@ HIDDEN_DETECTORS = {
 }
 
 
-def nearest(signals: DataFrame, roots: DataFrame) -> DataFrame:
+def nearest(signals: DataFrame, roots: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Of ``page_id, frame_id, ord, n, root, ...`` the deepest known root per holder, the first signal on ties."""
     known = signals.join(roots.select(*FRAME, F.col("e").alias("root"), "d"), [*FRAME, "root"])
-    w = Window.partitionBy(*FRAME, "ord").orderBy(F.col("d").desc(), "n")
+    w = Window.partitionBy(*FRAME, "ord", *by).orderBy(F.col("d").desc(), "n")
     return known.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank", "d")
 
 
@@ -107,11 +107,12 @@ def closure(nodes: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     )
 
 
-def suppress(groups: DataFrame, ancestors: DataFrame) -> DataFrame:
+def suppress(groups: DataFrame, ancestors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Of groups with ``own`` (a text of their own) and ``rest`` (children or whole), those that are reported."""
-    below = groups.where("own or rest").select(*FRAME, "e")
-    covered = ancestors.join(below, [*FRAME, "e"], "left_semi").select(*FRAME, F.col("anc").alias("e")).distinct()
-    marked = groups.where("own or rest").join(covered.withColumn("covered", F.lit(True)), [*FRAME, "e"], "left")
+    key = [*FRAME, "e", *by]
+    below = groups.where("own or rest").select(*key)
+    covered = ancestors.join(below, [*FRAME, "e"]).select(*FRAME, F.col("anc").alias("e"), *by).distinct()
+    marked = groups.where("own or rest").join(covered.withColumn("covered", F.lit(True)), key, "left")
     return marked.withColumn("covered", F.coalesce("covered", F.lit(False))).where("own or not covered")
 
 
@@ -120,12 +121,16 @@ def _in_order(values: Column) -> Column:
     return F.array_distinct(F.transform(F.array_sort(values), lambda x: x["v"]))
 
 
-def detect(name: str, holders: DataFrame, roots: DataFrame, folder: str | None = None) -> DataFrame:
-    """Candidates ``page_id, frame_id, e, technique, extra_type, evidence_text, decoded, method, reasons, keywords``."""
-    technique, extra, signals_of = HIDDEN_DETECTORS[name]
-    rows = holders.withColumn("signals", signals_of()).where(F.size("signals") > 0)
-    rows = rows.select(*FRAME, "ord", "t", "f", F.posexplode("signals").alias("n", "s")).select(*FRAME, "ord", "t", "f", "n", "s.*")
-    near = nearest(rows, roots).withColumnRenamed("root", "e")
+def _said(prefix: str, text: str) -> Column:
+    return F.coalesce(F.col(f"{prefix}_ad"), F.lit(False)) & (F.coalesce(F.col(text), F.lit("")) != "")
+
+
+def detect(names: list[str], holders: DataFrame, roots: DataFrame, folder: str | None = None) -> DataFrame:
+    """Candidates ``page_id, frame_id, e, detector, technique, extra_type, evidence_text, decoded, method, reasons, keywords``."""
+    lists = F.array(*[F.struct(F.lit(n).alias("detector"), HIDDEN_DETECTORS[n][2]().alias("signals")) for n in names])
+    rows = holders.select(*FRAME, "ord", "t", "f", F.explode(lists).alias("x")).where(F.size("x.signals") > 0)
+    rows = rows.select(*FRAME, "ord", "t", "f", "x.detector", F.posexplode("x.signals").alias("n", "s")).select(*FRAME, "ord", "t", "f", "detector", "n", "s.*")
+    near = nearest(rows, roots, ("detector",)).withColumnRenamed("root", "e")
     held = near.join(roots.select(*FRAME, "e", F.col("t").alias("root_text"), F.col("n").alias("root_n"), "m"), [*FRAME, "e"]).where("m is null or m <> 1")
 
     # every different text is assessed once: own and full texts of holders, texts of roots
@@ -135,31 +140,28 @@ def detect(name: str, holders: DataFrame, roots: DataFrame, folder: str | None =
         "text", A.hidden_ad_like(F.col("a")).alias("ad"), F.col("a.letters").alias("letters"), F.col("a.hit_letters").alias("hit_letters"),
         F.col("a.decoded").alias("decoded"), F.concat("a.keywords", "a.contacts").alias("words"),
     )
-
-    def judged(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    for prefix, text in (("r", "root_text"), ("t", "t"), ("f", "f")):
         named = verdicts.select(*[F.col(c).alias(f"{prefix}_{c}") for c in verdicts.columns])
-        return df.join(named, df[text].eqNullSafe(named[f"{prefix}_text"]) & df[text].isNotNull(), "left").drop(f"{prefix}_text")
+        held = held.join(named, held[text] == named[f"{prefix}_text"], "left").drop(f"{prefix}_text")
 
-    held = judged(judged(judged(held, "root_text", "r"), "t", "t"), "f", "f")
     dense = (F.col("root_n") <= A.COMPACT_TEXT) | (F.col("r_hit_letters") * A.DENSE_RATIO >= F.col("r_letters"))
-    held = held.where(dense)
-    said = lambda ad, text: F.coalesce(F.col(ad), F.lit(False)) & (F.coalesce(F.col(text), F.lit("")) != "")
-    own, full = said("t_ad", "t"), said("f_ad", "f")
-    first = F.struct("ord", F.when(own, 0).otherwise(1).alias("k"), F.when(own, F.col("t")).otherwise(F.col("f")).alias("text"), F.when(own, F.col("t_decoded")).otherwise(F.col("f_decoded")).alias("decoded"), F.when(own, F.col("t_words")).otherwise(F.col("f_words")).alias("words"))
-    only_own = F.struct("ord", F.col("t").alias("text"), F.col("t_decoded").alias("decoded"), F.col("t_words").alias("words"))
+    own, full = _said("t", "t"), _said("f", "f")
+    told = lambda p, text: F.struct("ord", F.col(text).alias("text"), F.col(f"{p}_decoded").alias("decoded"), F.col(f"{p}_words").alias("words"))
     place = lambda c: F.struct("ord", F.col(c).alias("v"))
-    groups = held.groupBy(*FRAME, "e").agg(
+    groups = held.where(dense).groupBy(*FRAME, "e", "detector").agg(
         F.bool_or(own).alias("own"), F.bool_or(full).alias("full"),
-        F.min(F.when(own | full, first)).alias("first"), F.min(F.when(own, only_own)).alias("first_own"),
-        F.first("root_text").alias("root_text"), F.first("root_n").alias("root_n"), F.first("r_ad").alias("r_ad"), F.first("r_decoded").alias("r_decoded"), F.first("r_words").alias("r_words"),
+        F.min(F.when(own, told("t", "t"))).alias("first_own"), F.min(F.when(own, told("t", "t")).when(full, told("f", "f"))).alias("first"),
+        *[F.first(c).alias(c) for c in ("root_text", "root_n", "r_ad", "r_decoded", "r_words")],
         _in_order(F.collect_list(place("method"))).alias("methods"), _in_order(F.collect_list(place("reason"))).alias("reasons"),
     )
-    whole = (F.col("root_n") <= ROOT_TEXT) & F.coalesce(F.col("r_ad"), F.lit(False)) & (F.coalesce(F.col("root_text"), F.lit("")) != "")
-    groups = groups.withColumn("whole", whole).withColumn("rest", F.col("full") | F.col("whole"))
-    out = suppress(groups, closure(roots))
-    pick = lambda f, whole_col: F.when(F.col("whole"), F.col(whole_col)).when(F.col("covered"), F.col(f"first_own.{f}")).otherwise(F.col(f"first.{f}"))
+    groups = groups.withColumn("whole", (F.col("root_n") <= ROOT_TEXT) & _said("r", "root_text")).withColumn("rest", F.col("full") | F.col("whole"))
+    groups = groups.where("own or rest").persist()  # read three times, few rows
+    known = roots.join(groups.select(*FRAME).distinct(), FRAME, "left_semi")
+    out = suppress(groups, closure(known), ("detector",))
+    pick = lambda f, c: F.when(F.col("whole"), F.col(c)).when(F.col("covered"), F.col(f"first_own.{f}")).otherwise(F.col(f"first.{f}"))
+    of = lambda k: F.coalesce(*[F.when(F.col("detector") == n, HIDDEN_DETECTORS[n][k]) for n in names]).cast("string")
     return out.select(
-        *FRAME, "e", F.lit(technique).alias("technique"), F.lit(extra).cast("string").alias("extra_type"), evidence(pick("text", "root_text")).alias("evidence_text"),
+        *FRAME, "e", "detector", of(0).alias("technique"), of(1).alias("extra_type"), evidence(pick("text", "root_text")).alias("evidence_text"),
         pick("decoded", "r_decoded").alias("decoded"), F.array_join("methods", ", ").alias("method"),
         F.concat("reasons", F.array(F.lit(HIDDEN_REASON))).alias("reasons"), F.array_distinct(pick("words", "r_words")).alias("keywords"),
     )

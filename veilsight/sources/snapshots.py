@@ -11,7 +11,7 @@ HOLDER = (
     f"ca:{VALUE},sc:struct<v:double,r:int,fg:string,bg:string>,vis:int,clip:int,clipHow:string>"
 )
 ROOT = "struct<t:string,n:int,d:int,p:int,m:int>"
-SNAPSHOT = f"struct<truncated:boolean,holders:array<{HOLDER}>,roots:map<int,{ROOT}>>"
+SNAPSHOT = f"struct<truncated:boolean,holders:array<{HOLDER}>,roots:map<string,{ROOT}>>"
 MOST_HOLDERS = 20000
 
 
@@ -36,7 +36,7 @@ def holders(snapshots: DataFrame) -> DataFrame:
 
 def roots(snapshots: DataFrame) -> DataFrame:
     rows = snapshots.select("page_id", "frame_id", F.explode(parse("json")["roots"]).alias("e", "r"))
-    return rows.select("page_id", "frame_id", "e", "r.*").withColumn("p", _none("p"))
+    return rows.select("page_id", "frame_id", F.col("e").try_cast("int").alias("e"), "r.*").where("e is not null").withColumn("p", _none("p"))
 
 
 def truncated(snapshots: DataFrame) -> DataFrame:
