@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import groupby
 from typing import NamedTuple
 
@@ -26,6 +26,13 @@ _ZERO_WIDTH = str.maketrans("", "", T.ZERO_WIDTH)
 _SPACE = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2028\u2029\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B) if c != 0x2007}
 
 
+_HANGUL = regex.compile("[가-힣ㄱ-ㅣ" + "".join(T.JAMO_FORMS) + "]")
+
+
+def has_hangul(text: str) -> bool:
+    return _HANGUL.search(text) is not None
+
+
 def is_syllable(c: str) -> bool:
     return "가" <= c <= "힣"
 
@@ -322,8 +329,17 @@ class Token:
     end: int
     cells: list[Cell]
 
+    @cached_property
+    def letters(self) -> frozenset[str]:
+        """Every letter that some cell may be."""
+        return frozenset("".join([c.cands for c in self.cells]))
+
+    @cached_property
+    def kinds(self) -> str:
+        return "".join([c.kind for c in self.cells])
+
     def count(self, kinds: str) -> int:
-        return sum(c.kind in kinds for c in self.cells)
+        return sum(map(self.kinds.count, kinds))
 
     def reading(self) -> str:
         """The likeliest reading; digits and characters without a reading as they are."""
@@ -358,6 +374,8 @@ def latin_tokens(text: str) -> list[Token]:
 
 def latin_find(token: Token, word: str) -> list[Found]:
     """Places of a keyword in a token; separators are passed over, short words need edges."""
+    if len(word) > len(token.cells) or not token.letters.issuperset(word):
+        return []
     cells = token.cells
     solid = [k for k, c in enumerate(cells) if c.kind != "-"]
     letter = [c.kind in "POCSD" for c in cells]

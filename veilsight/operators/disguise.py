@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .hidden import FRAME, closure
-from .verdicts import TEXT_DETECTORS, verdict_udf
+from .hidden import FRAME, ancestors
+from .verdicts import TEXT_DETECTORS, verdicts_udf
 
 #: Cheap tests in the engine before the kernel sees a text.
 PREFILTERS = {
@@ -20,37 +20,32 @@ PREFILTERS = {
 }
 
 
-def suppress_full(found: DataFrame, ancestors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def suppress_full(found: DataFrame, above: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Of found elements, those that rest on their children's text (``via_full``) go if a descendant is found."""
     key = [*FRAME, "e", *by]
-    holding = ancestors.join(found.select(*key), [*FRAME, "e"]).select(*FRAME, F.col("anc").alias("e"), *by).distinct()
+    holding = above.join(found.select(*key), [*FRAME, "e"]).select(*FRAME, F.col("anc").alias("e"), *by).distinct()
     kept = found.where("via_full").join(holding, key, "left_anti")
     return found.where("not via_full").unionByName(kept)
 
 
-def _found(name: str, holders: DataFrame, folder: str | None) -> DataFrame:
-    texts = holders.select(F.explode(F.array("t", "f")).alias("text")).where("text is not null and text <> ''").distinct()
-    texts = texts.where(PREFILTERS[name]("text"))
-    verdicts = texts.withColumn("v", verdict_udf(name, folder)("text")).where("v.hit").select("text", "v")
-    own = holders.select(*FRAME, "e", "t", "f").join(verdicts.select(F.col("text").alias("t"), F.col("v").alias("own")), "t", "left")
-    both = own.join(verdicts.select(F.col("text").alias("f"), F.col("v").alias("full")), "f", "left").where("own is not null or full is not null")
-    return both.select(
-        *FRAME, "e", F.lit(name).alias("detector"), F.col("own").isNull().alias("via_full"), F.coalesce("own", "full").alias("v"),
-        F.when(F.col("own").isNull(), F.col("f")).otherwise(F.col("t")).alias("evidence"),
-    )
-
-
 def detect(names: list[str], holders: DataFrame, folder: str | None = None) -> DataFrame:
     """Candidates of text detectors, with the columns of ``operators.hidden.detect``.
 
-    Only frames in which something is found are walked up, once for all detectors.
+    Every different text that passes a prefilter is judged once, by all detectors; only frames in which
+    an element rests on its children's text are walked up.
     """
-    found = reduce(DataFrame.unionByName, [_found(n, holders, folder) for n in names]).persist()  # read three times, few rows
+    rows = holders.select(*FRAME, "e", F.posexplode(F.array("t", "f")).alias("k", "text")).where("text <> ''")
+    texts = rows.select("text").distinct()
+    worth = reduce(Column.__or__, [PREFILTERS[n]("text") for n in names])
+    verdicts = texts.where(worth).select("text", F.explode(verdicts_udf(names, folder)("text")).alias("v")).select("text", "v.*")
+    hits = rows.join(verdicts, "text")
+    first = F.min_by(F.struct("k", "text", "decoded", "method", "reasons", "keywords"), "k").alias("v")
+    found = hits.groupBy(*FRAME, "e", "detector").agg(first).withColumn("via_full", F.col("v.k") == 1).persist()  # read three times, few rows
     full = found.where("via_full").select(*FRAME).distinct()
-    chain = holders.select(*FRAME, "e", F.col("ph").alias("p")).join(full, FRAME, "left_semi")
-    out = suppress_full(found, closure(chain), ("detector",))
+    chain = holders.withColumn("p", F.col("ph")).join(full, FRAME, "left_semi")
+    out = suppress_full(found, ancestors(chain), ("detector",))
     of = lambda k: F.coalesce(*[F.when(F.col("detector") == n, TEXT_DETECTORS[n][k]) for n in names]).cast("string")
     return out.select(
-        *FRAME, "e", "detector", of(0).alias("technique"), of(1).alias("extra_type"), X.evidence("evidence").alias("evidence_text"),
+        *FRAME, "e", "detector", of(0).alias("technique"), of(1).alias("extra_type"), X.evidence("v.text").alias("evidence_text"),
         "v.decoded", "v.method", "v.reasons", "v.keywords",
     )

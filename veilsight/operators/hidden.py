@@ -107,11 +107,18 @@ def closure(nodes: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
     )
 
 
-def suppress(groups: DataFrame, ancestors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """The closure, from the arrays of ancestors that parsed pages come with, else by recursion."""
+    if "anc" in nodes.columns:
+        return nodes.select(*FRAME, "e", F.explode("anc").alias("anc"))
+    return closure(nodes)
+
+
+def suppress(groups: DataFrame, above: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Of groups with ``own`` (a text of their own) and ``rest`` (children or whole), those that are reported."""
     key = [*FRAME, "e", *by]
     below = groups.where("own or rest").select(*key)
-    covered = ancestors.join(below, [*FRAME, "e"]).select(*FRAME, F.col("anc").alias("e"), *by).distinct()
+    covered = above.join(below, [*FRAME, "e"]).select(*FRAME, F.col("anc").alias("e"), *by).distinct()
     marked = groups.where("own or rest").join(covered.withColumn("covered", F.lit(True)), key, "left")
     return marked.withColumn("covered", F.coalesce("covered", F.lit(False))).where("own or not covered")
 
@@ -139,7 +146,7 @@ def detect(names: list[str], holders: DataFrame, roots: DataFrame, folder: str |
     verdicts = done.select(
         "text", A.hidden_ad_like(F.col("a")).alias("ad"), F.col("a.letters").alias("letters"), F.col("a.hit_letters").alias("hit_letters"),
         F.col("a.decoded").alias("decoded"), F.concat("a.keywords", "a.contacts").alias("words"),
-    )
+    ).persist()
     for prefix, text in (("r", "root_text"), ("t", "t"), ("f", "f")):
         named = verdicts.select(*[F.col(c).alias(f"{prefix}_{c}") for c in verdicts.columns])
         held = held.join(named, held[text] == named[f"{prefix}_text"], "left").drop(f"{prefix}_text")
@@ -157,7 +164,7 @@ def detect(names: list[str], holders: DataFrame, roots: DataFrame, folder: str |
     groups = groups.withColumn("whole", (F.col("root_n") <= ROOT_TEXT) & _said("r", "root_text")).withColumn("rest", F.col("full") | F.col("whole"))
     groups = groups.where("own or rest").persist()  # read three times, few rows
     known = roots.join(groups.select(*FRAME).distinct(), FRAME, "left_semi")
-    out = suppress(groups, closure(known), ("detector",))
+    out = suppress(groups, ancestors(known), ("detector",))
     pick = lambda f, c: F.when(F.col("whole"), F.col(c)).when(F.col("covered"), F.col(f"first_own.{f}")).otherwise(F.col(f"first.{f}"))
     of = lambda k: F.coalesce(*[F.when(F.col("detector") == n, HIDDEN_DETECTORS[n][k]) for n in names]).cast("string")
     return out.select(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions import text as X
 from ..functions import urls as U
+from .tables import spread
 
 MOST_HOLDERS, OWN_TEXT, FULL_TEXT, MOST_LINKS, MOST_SCRIPT, MOST_JUMPS = 20000, X.OWN_TEXT, X.FULL_TEXT, 5000, 200000, 50
 FONT_SIZE, OPACITY, ALPHA, CONTRAST, INDENT = 1.0, 0.1, 0.1, 1.1, 100.0
@@ -472,9 +473,11 @@ def snapshot(html: str, css: str = "") -> dict:
             holders.append(h)
     kept = {h["e"] for h in holders}
     for h in holders:
-        h["ph"] = next((a.number for a in tree.elements[h["e"]].ancestors() if a.number in kept), None)
+        h["anc"] = [a.number for a in tree.elements[h["e"]].ancestors() if a.number in kept]
+        h["ph"] = next(iter(h["anc"]), None)
     for i, r in roots.items():
-        r["p"] = next((a.number for a in tree.elements[i].ancestors() if a.number in roots), None)
+        r["anc"] = [a.number for a in tree.elements[i].ancestors() if a.number in roots]
+        r["p"] = next(iter(r["anc"]), None)
     named = {i: s for i in {*kept, *roots} if (s := selector(tree, tree.elements[i]))}
     return {"truncated": truncated, "holders": holders, "roots": roots, "selectors": named, "tree": tree}
 
@@ -506,8 +509,8 @@ _VALUE = "struct<v:double,r:int,how:string>"
 FRAME = (
     "struct<frame_id:int,prefix:string,truncated:boolean,"
     f"holders:array<struct<e:int,t:string,f:string,ph:int,dn:int,fs:{_VALUE},off:struct<r:int,how:string,indent:boolean,x:double,y:double>,op:{_VALUE},ca:{_VALUE},"
-    "sc:struct<v:double,r:int,fg:string,bg:string>,vis:int,clip:int,clipHow:string>>,"
-    "roots:array<struct<e:int,t:string,n:int,d:int,p:int,m:int>>,selectors:array<struct<e:int,location:string>>,"
+    "sc:struct<v:double,r:int,fg:string,bg:string>,vis:int,clip:int,clipHow:string,anc:array<int>>>,"
+    "roots:array<struct<e:int,t:string,n:int,d:int,p:int,m:int,anc:array<int>>>,selectors:array<struct<e:int,location:string>>,"
     "links:array<string>,srcs:array<struct<src:string,prefix:string>>>"
 )
 
@@ -532,7 +535,8 @@ def read_frames(pages: DataFrame, css: str = "", nested: int = 2) -> DataFrame:
 
     Frames with a source are found among the stored pages by their address, ``nested`` levels deep at most.
     """
-    whole = pages.select("page_id", "url", F.explode(frames_udf(css)("html", "url")).alias("f")).select("page_id", "url", "f.*")
+    whole = spread(pages.select("page_id", "url", "html")).select("page_id", "url", F.explode(frames_udf(css)("html", "url")).alias("f")).select("page_id", "url", "f.*")
+    whole = whole.persist()  # parsed once, though the levels of frames below read it again
     own = whole.withColumn("path", F.col("frame_id").cast("string"))
     stored = own.select(U.key("url").alias("k"), *[F.col(c).alias(f"in_{c}") for c in ("frame_id", "prefix", "truncated", "holders", "roots", "selectors", "links", "srcs")])
     out, last = own, own
