@@ -5,32 +5,33 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources.keywords import load
 from . import kernels as K
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_udf(texts: pd.Series) -> pd.Series:
     return texts.map(K.decode, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose_udf(jamo: pd.Series) -> pd.Series:
     return jamo.map(K.compose, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def keyed_udf(words: pd.Series) -> pd.Series:
     return words.map(K.key_word_korean, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_udf(texts: pd.Series) -> pd.Series:
     return texts.map(K.fold_compat, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def jamo_udf(texts: pd.Series) -> pd.Series:
     return texts.map(K.to_jamo, na_action="ignore")
 
@@ -43,7 +44,7 @@ def latin_udf(folder: str | None = None):
         tokens = K.latin_tokens(text)
         return ",".join(k.word for k in words.latin if any(K.latin_find(t, k.word) for t in tokens))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(found, na_action="ignore")
 

@@ -105,12 +105,15 @@ class Tree(HTMLParser):
         return e
 
     def _close_to(self, tags: set[str], stop: set[str]) -> None:
+        """Closes the outermost open element of these tags, up to the nearest one that bounds them."""
+        found = 0
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
             if self.open[k].tag in stop:
-                return
+                break
+            if self.open[k].tag in tags:
+                found = k
+        if found:
+            del self.open[found:]
 
     def handle_starttag(self, tag, attrs):
         named = {k: v or "" for k, v in reversed(attrs)}
