@@ -41,8 +41,10 @@ BLOCKED_WORDS = (
     "nude phish pills poker porn prize scam sex slots spam torrent viagra warez win winner x xxx"
 ).split()
 PLAIN_WORDS = (
-    "about article blog com de docs edu en es example forum fr gov help home html info it library mail net news org page "
-    "post school shop site store support the weather web wiki www"
+    "about article best blog book buy cheap city com data day de docs edu en es example family food forum fr free game garden gov green health help "
+    "home house html info it job learn library life light live local love mail market media money music my net new news now on one online open org "
+    "page park photo play post red river school science shop site sky social sport star store support tech the time top travel tree tv video water "
+    "weather web wiki work world www you"
 ).split()
 
 CELLS = 1 << 16
@@ -92,9 +94,14 @@ class Model:
         self.memo: dict[str, tuple[str, ...]] = {}
 
     def cost(self, word: str) -> float:
-        """Negative log probability; unseen words cost more the longer they are."""
-        seen = self.seeds.get(word, 0.0) + (math.sqrt(self.pieces[cell(word)]) if len(word) > 2 else 0.0)
-        return -math.log(seen / self.total) if seen else math.log(self.total) + 2.5 * len(word)
+        """Negative log probability; what is no seed word costs more the longer it is, and unseen letters cost most.
+
+        A run-together name may be as frequent as its host, so counts are damped by the root and by length.
+        """
+        if word in self.seeds:
+            return -math.log(self.seeds[word] / self.total)
+        seen = math.sqrt(self.pieces[cell(word)]) if len(word) > 2 else 0.0
+        return math.log(self.total / seen) + 0.7 * max(0, len(word) - 6) if seen else math.log(self.total) + 2.5 * len(word)
 
     def segment(self, piece: str) -> tuple[str, ...]:
         """Viterbi over all splits into words of at most ``LONGEST`` letters; digits and very long pieces stay whole."""
