@@ -11,7 +11,8 @@ from pyspark.errors import PySparkException
 
 from veilsight.operators import crawl, evaluate, findings, hidden, review
 from veilsight.plans import scan
-from veilsight.sources import sinks
+from veilsight.functions import urls as U
+from veilsight.sources import results, sinks
 from veilsight.streaming import scan_stream
 
 
@@ -127,3 +128,28 @@ def test_entry_without_the_corpus_operators(tmp_path):
         "q = e.queries(); assert len(q) > 80 and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_results_read_back(spark, tmp_path):
+    row = {"id": "f_001", "url": "u", "technique": "JAMO", "location": "a > b", "evidence_text": 'x "q",\ny', "extra_finding": None}
+    (tmp_path / "result.json").write_text(sinks.result_json([row], {"topic": "t", "elapsed_sec": 1.0}), encoding="utf-8")
+    got = results.read_result(spark, str(tmp_path / "result.json")).first()
+    assert (got["id"], got["evidence_text"], got["is_violation"]) == ("f_001", 'x "q",\ny', True)
+    sinks.write_atomically(str(tmp_path / "v.csv"), "﻿" + sinks.csv_lines([["id", "technique", "url", "location", "evidence_text", "verdict"], ["f_001", "JAMO", "u", "a", 'x "q",\ny', "정탐"]]))
+    got = results.read_verdicts(spark, str(tmp_path / "v.csv")).collect()
+    assert len(got) == 1 and got[0]["evidence_text"] == 'x "q",\ny' and evaluate.by_hand(results.read_verdicts(spark, str(tmp_path / "v.csv"))).first()["tp"] == 1
+
+
+def test_error_lines(spark, tmp_path):
+    cause = "struct<class:string,message:string,stack:array<string>>"
+    rows = [("t", "w", "s", "u", "E", "m", [f"f{k}" for k in range(60)], [("C", "x", ["y"])] * 9)]
+    df = spark.createDataFrame(rows, f"time string, thread string, site string, url string, class string, message string, stack array<string>, causes array<{cause}>")
+    sinks.error_lines(df).write.text(str(tmp_path / "errors"))
+    got = results.read_errors(spark, str(tmp_path / "errors")).first()
+    assert len(got["stack"]) == 40 and len(got["causes"]) == 5
+
+
+def test_key_is_its_own_key(spark):
+    urls = ["HTTP://Ex.com:80/a//?b=2&a=1#x", "ex.com/", "https://ex.com:443", "ex.com?b&&a", "", "a;jsessionid=1?x", "//ex.com/a/"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(U.key("u").alias("k"))
+    assert [r["k"] for r in df.select(U.key("k").alias("k")).collect()] == [r["k"] for r in df.collect()]

@@ -304,3 +304,40 @@ def response_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     df = table(spark, sf_dir, "pages").select("page_id", F.when(i % 4 == 0, 200).when(i % 4 == 1, 404).otherwise(302).alias("status"), F.when(i % 3 == 0, "text/html").when(i % 3 == 1, "image/png").alias("content_type"))
     return df.where(C.readable()).select("page_id")
+
+
+# ---------------------------------------------------------------- signals of measured style
+_S = (
+    "(SELECT doc_id, (doc_id % 23) / 100.0::DOUBLE AS op, (doc_id % 7) / 20.0::DOUBLE AS ca, 1 + (doc_id % 5) / 20.0::DOUBLE AS sc, (doc_id % 9) / 4.0::DOUBLE AS fs, doc_id % 6 = 0 AS none, doc_id % 8 = 0 AS off FROM documents)"
+)
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    value = lambda v: F.struct(v.cast("double").alias("v"), F.lit(1).alias("r"), F.lit(None).cast("string").alias("how"))
+    off = F.struct(F.lit(4).alias("r"), F.lit("left").alias("how"), F.lit(False).alias("indent"), (-i).cast("double").alias("x"), F.lit(2.5).alias("y"))
+    same = F.struct((F.lit(1) + (i % 5) / 20.0).alias("v"), F.lit(3).alias("r"), F.lit("a").alias("fg"), F.lit("b").alias("bg"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", value((i % 23) / 100.0).alias("op"), value((i % 7) / 20.0).alias("ca"), same.alias("sc"), value((i % 9) / 4.0).alias("fs"),
+        F.when(i % 6 == 0, 2).alias("dn"), F.when(i % 8 == 0, off).alias("off"),
+    )
+
+
+@query(
+    f"SELECT doc_id, 0 AS n, 'opacity:' || {S.short_number('op')} AS method FROM {_S} WHERE op <= 0.1 UNION ALL"
+    f" SELECT doc_id, (op <= 0.1)::INTEGER, 'color:transparent' FROM {_S} WHERE ca <= 0.1 UNION ALL"
+    f" SELECT doc_id, (op <= 0.1)::INTEGER + (ca <= 0.1)::INTEGER, 'color:a / background:b' FROM {_S} WHERE sc <= 1.1"
+)
+def signals_transparent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _measured(spark, sf_dir).select("doc_id", F.posexplode(H.transparent()).alias("n", "s"))
+    return df.select("doc_id", "n", "s.method")
+
+
+@query(
+    f"SELECT doc_id, 0 AS n, 'display:none' AS method FROM {_S} WHERE none UNION ALL"
+    f" SELECT doc_id, none::INTEGER, 'font-size:' || {S.short_number('fs')} || 'px' FROM {_S} WHERE fs <= 1 UNION ALL"
+    f" SELECT doc_id, none::INTEGER + (fs <= 1)::INTEGER, '화면 왼쪽 밖 (x=' || (-doc_id) || 'px, y=3px)' FROM {_S} WHERE off"
+)
+def signals_offscreen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _measured(spark, sf_dir).select("doc_id", F.posexplode(H.offscreen()).alias("n", "s"))
+    return df.select("doc_id", "n", "s.method")

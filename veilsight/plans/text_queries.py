@@ -260,3 +260,36 @@ def _detector(name: str, which: int) -> None:
 for _k, _name in enumerate(TEXT_DETECTORS):
     _detector(_name, _k)
 
+
+
+# ---------------------------------------------------------------- positions
+_FAR = ["카지노 " + "가나다라마바사아자차 " * n + tail for n, tail in ((1, "무료 쿠폰"), (2, "무료 쿠폰"), (4, "무료 쿠폰"), (9, "이벤트 토토"), (0, "vip"))]
+_W = f"(SELECT doc_id, {sql_pick(_FAR, 'doc_id')} AS t FROM documents)"
+_FAR_HITS = f"(SELECT doc_id, (i - 1)::INTEGER AS s, (i - 1 + length(word))::INTEGER AS e FROM {_W}, {_KO}, unnest(range(1, length(t) - length(word) + 2)) AS r(i) WHERE word IN ('카지노', '토토') AND substr(t, i, length(word)) = word)"
+
+
+@query(
+    f"SELECT DISTINCT w.doc_id, cue FROM {_W} w, unnest({_array(A.CUES)}) AS c(cue), unnest(range(1, length(t) - length(cue) + 2)) AS r(i) JOIN {_FAR_HITS} h ON h.doc_id = w.doc_id"
+    " WHERE substr(t, i, length(cue)) = cue AND i - 1 <= h.e + 30 AND i - 1 + length(cue) >= h.s - 30"
+)
+def proximity_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues within thirty characters of a keyword."""
+    df = _cases(spark, sf_dir, _FAR).select("doc_id", "t", M.longest(M.scan("t", DICT)).alias("hits"))
+    near = F.filter(
+        F.array(*map(F.lit, A.CUES)), lambda c: F.exists(M.places(F.col("t"), c), lambda p: M.near(F.col("hits"), p, p + F.length(c), A.NEAR))
+    )
+    return df.select("doc_id", F.explode(near).alias("cue"))
+
+
+_ZERO = ["카​지노 가입", "토토 카지노", "바⁠카­라 무료", "plain"]
+_Z = f"(SELECT doc_id, {sql_pick(_ZERO, 'doc_id')} AS t FROM documents)"
+
+
+@query(
+    f"SELECT doc_id, word FROM (SELECT doc_id, t, {S.sub('t', S.char_class(T.ZERO_WIDTH))} AS bare FROM {_Z}), {_KO} WHERE contains(bare, word) AND NOT contains(t, word)"
+)
+def zero_width_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords that only the text without invisible marks holds."""
+    words = lambda t: F.transform(F.filter(M.keyword_array(DICT.korean), lambda k: F.contains(t, k["word"])), lambda k: k["word"])
+    df = _cases(spark, sf_dir, _ZERO)
+    return df.select("doc_id", F.explode(F.array_except(words(X.strip_zero_width("t")), words(F.col("t")))).alias("word"))
