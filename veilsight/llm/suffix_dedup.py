@@ -9,6 +9,9 @@ the batch, is merge-scanned against the levels there are, and becomes a level; l
 so a batch meets a logarithmic number of them. Segments come in order of their anchor, which no string
 crosses, so the levels of a finished anchor are let go, and equal strings are held once however often
 they occur. An anchor beyond ``HOT`` places is dealt out by the string's distance from it as well.
+Segments that are equal within a slice of a map task are settled there, and one of them is sent on for
+the others, so a line or passage that a third of the documents hold, or one text holds thousands of
+times, is not sent thousands of times.
 
 Exact copies of whole texts need no index: all but very short ones go whole, and one of them stands for
 the others.
@@ -59,7 +62,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 _FIRST = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_bytes", pa.int64()), ("anchors", pa.list_(pa.int64()))])
-_SEGMENTS = pa.schema([("key", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("seg", pa.binary())])
+_SEGMENTS = pa.schema([("key", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("met", pa.bool_()), ("seg", pa.binary())])
 _SPANS = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
@@ -76,13 +79,17 @@ def _first(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _segments(found: DataFrame, width: int) -> DataFrame:
-    """Segments of the strings whose anchors live, from ``text, t1, t2, live, hot``."""
+    """Segments of the strings whose anchors live, from ``text, t1, t2, live, hot``.
+
+    A row without ``seg`` is a settled span of ``size`` bytes; ``met`` marks a segment that stands for
+    others too.
+    """
 
     def run(batches):
         for batch in sliced(batches):
             t1, t2 = batch.column("t1").to_pylist(), batch.column("t2").to_pylist()
             live, hot = batch.column("live"), batch.column("hot")
-            keys, a, b, starts, segs = [], [], [], [], []
+            same: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
             for i, text in enumerate(texts(batch)):
                 alive = live[i].values.to_numpy().view(np.uint64)
                 order = np.argsort(alive)
@@ -104,11 +111,21 @@ def _segments(found: DataFrame, width: int) -> DataFrame:
                         for s in range(p, q, SEGMENT):
                             e = min(s + SEGMENT, q)
                             w = int(here[s])
-                            keys.append(int(key[s])), a.append(t1[i]), b.append(t2[i]), starts.append(base + w)
-                            segs.append(part[w : w + (e - s) + width - 1])
-            yield emit(_SEGMENTS, key=keys, t1=a, t2=b, start=starts, seg=segs)
-
-    return found.mapInArrow(run, "key long, t1 long, t2 long, start long, seg binary")
+                            same.setdefault((int(key[s]), part[w : w + (e - s) + width - 1]), []).append((i, base + w))
+            rows, settled = [], {}
+            for (key, seg), places in same.items():
+                i, start = places[0]
+                rows.append((key, t1[i], t2[i], start, len(seg), len(places) > 1, seg))
+                if len(places) > 1:
+                    for i, start in places:
+                        settled.setdefault(i, []).append((start, start + len(seg)))
+            for i, spans in settled.items():
+                lo, hi = np.array(spans).T
+                rows += [(t1[i] ^ a, t1[i], t2[i], a, b - a, True, None) for a, b in union_of(lo, hi)]
+            if rows:
+                yield emit(_SEGMENTS, **dict(zip(_SEGMENTS.names, zip(*rows))))
+
+    return found.mapInArrow(run, "key long, t1 long, t2 long, start long, size long, met boolean, seg binary")
 
 
 class Level:
@@ -164,13 +181,13 @@ class Task:
     def __init__(self, width: int):
         self.width, self.family, self.key = width, Family(), None
 
-    def batch(self, key: np.ndarray, t1: np.ndarray, t2: np.ndarray, start: np.ndarray, segs: list[bytes]):
-        """Spans ``t1, t2, lo, hi`` that the batch settles."""
+    def batch(self, key: np.ndarray, t1: np.ndarray, t2: np.ndarray, start: np.ndarray, known: np.ndarray, segs: list[bytes]):
+        """Spans ``t1, t2, lo, hi`` that the batch settles; ``known`` rows stand for settled ones and are told as well."""
         w = self.width
         size = np.fromiter(map(len, segs), np.int64, len(segs)) - w + 1
         unique: dict[bytes, int] = {}
         group = np.array([unique.setdefault(s, len(unique)) for s in segs])
-        times = np.bincount(group)
+        times = np.bincount(group) + np.bincount(group, known)
         # segments that occur more than once go whole
         many = times[group] > 1
         out = [(t1[many], t2[many], start[many], start[many] + size[many] + w - 1)]
@@ -228,12 +245,21 @@ def _spans(segments: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            size = pa.compute.binary_length(batch.column("seg")).to_numpy().astype(np.int64) - width + 1
+            done = pa.compute.is_null(batch.column("seg"))
+            told = batch.filter(done)
+            if told.num_rows:
+                lo = told.column("start").to_numpy()
+                yield emit(_SPANS, t1=told.column("t1"), t2=told.column("t2"), lo=lo, hi=lo + told.column("size").to_numpy())
+            batch = batch.filter(pa.compute.invert(done))
+            if not batch.num_rows:
+                continue
+            size = batch.column("size").to_numpy() - width + 1
             part = np.cumsum(size) // BATCH_WINDOWS
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 s = batch.slice(a, b - a)
-                t1, t2, lo, hi = task.batch(*[s.column(c).to_numpy() for c in ("key", "t1", "t2", "start")], s.column("seg").to_pylist())
+                cols = [s.column(c).to_numpy(zero_copy_only=False) for c in ("key", "t1", "t2", "start", "met")]
+                t1, t2, lo, hi = task.batch(*cols, s.column("seg").to_pylist())
                 if len(lo):
                     yield emit(_SPANS, t1=t1, t2=t2, lo=lo, hi=hi)
 
