@@ -9,7 +9,7 @@ The prefix sum has two levels: keys fall into ``BUCKETS`` classes in order of th
 summed map-side, and only the one class per source that holds the edge is sorted. A source with most of
 the rows is therefore never gathered in one task. Targets are found in one row per source.
 
-Defined cases: a null text has size 0, is in no need of words and takes none; a null source is a source,
+Defined cases: a null text has size 0, and the mix takes none of its words; a null source is a source,
 ordered last; a null ``doc_id`` draws a key like any other; equal keys are ordered by ``doc_id`` and
 then by size; repeated rows are taken each by itself; an empty table gives an empty result; other
 columns are never read.
@@ -29,10 +29,9 @@ BUCKETS = 1024
 
 
 def quality(ws: list[bytes]) -> float:
-    """Weight of a document: the share of different words among its first 1000-word mean, between 0.1 and 1.
+    """Weight of a document: its different words against the number that a text of its length has, 0.1 to 1.
 
-    Long texts repeat words of course, so the number of different words is held against the square root
-    law ``d ~ 7 * sqrt(n)``; texts at or above it weigh 1.
+    That number grows about as ``7 * sqrt(n)`` and is ``n`` at most; texts at or above it weigh 1.
     """
     n = len(ws)
     if not n:
