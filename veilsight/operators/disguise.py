@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import stored
 from .hidden import FRAME, ancestors
 from .verdicts import TEXT_DETECTORS, verdicts_udf
 
@@ -40,7 +41,8 @@ def detect(names: list[str], holders: DataFrame, folder: str | None = None) -> D
     verdicts = texts.where(worth).select("text", F.explode(verdicts_udf(names, folder)("text")).alias("v")).select("text", "v.*")
     hits = rows.join(verdicts, "text")
     first = F.min_by(F.struct("k", "text", "decoded", "method", "reasons", "keywords"), "k").alias("v")
-    found = hits.groupBy(*FRAME, "e", "detector").agg(first).withColumn("via_full", F.col("v.k") == 1).persist()  # read three times, few rows
+    found = hits.groupBy(*FRAME, "e", "detector").agg(first).withColumn("via_full", F.col("v.k") == 1)
+    found = stored(found, "disguised")  # read three times, few rows
     full = found.where("via_full").select(*FRAME).distinct()
     chain = holders.withColumn("p", F.col("ph")).join(full, FRAME, "left_semi")
     out = suppress_full(found, ancestors(chain), ("detector",))

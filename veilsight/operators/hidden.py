@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence, short_number
+from ..sources.tables import stored
 from . import assess as A
 
 OPACITY, ALPHA, CONTRAST, FONT_SIZE, ROOT_TEXT, MOST_LEVELS = 0.1, 0.1, 1.1, 1.0, 300, 1000
@@ -146,7 +147,8 @@ def detect(names: list[str], holders: DataFrame, roots: DataFrame, folder: str |
     verdicts = done.select(
         "text", A.hidden_ad_like(F.col("a")).alias("ad"), F.col("a.letters").alias("letters"), F.col("a.hit_letters").alias("hit_letters"),
         F.col("a.decoded").alias("decoded"), F.concat("a.keywords", "a.contacts").alias("words"),
-    ).persist()
+    )
+    verdicts = stored(verdicts, "verdicts")
     for prefix, text in (("r", "root_text"), ("t", "t"), ("f", "f")):
         named = verdicts.select(*[F.col(c).alias(f"{prefix}_{c}") for c in verdicts.columns])
         held = held.join(named, held[text] == named[f"{prefix}_text"], "left").drop(f"{prefix}_text")
@@ -162,7 +164,7 @@ def detect(names: list[str], holders: DataFrame, roots: DataFrame, folder: str |
         _in_order(F.collect_list(place("method"))).alias("methods"), _in_order(F.collect_list(place("reason"))).alias("reasons"),
     )
     groups = groups.withColumn("whole", (F.col("root_n") <= ROOT_TEXT) & _said("r", "root_text")).withColumn("rest", F.col("full") | F.col("whole"))
-    groups = groups.where("own or rest").persist()  # read three times, few rows
+    groups = stored(groups.where("own or rest"), "hidden")  # read three times, few rows
     known = roots.join(groups.select(*FRAME).distinct(), FRAME, "left_semi")
     out = suppress(groups, ancestors(known), ("detector",))
     pick = lambda f, c: F.when(F.col("whole"), F.col(c)).when(F.col("covered"), F.col(f"first_own.{f}")).otherwise(F.col(f"first.{f}"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import disguise, findings, hidden
 from ..operators.verdicts import TEXT_DETECTORS
 from ..sources import html as html_source
+from ..sources.tables import stored
 
 CORE_DETECTORS = ("HOMOGLYPH", "JAMO", "TRANSPARENT", "OFFSCREEN")
 EXTRA_DETECTORS = ("VISIBILITY_HIDDEN", "CLIPPED", "ZERO_WIDTH", "KEYBOARD_LAYOUT")
@@ -58,12 +59,12 @@ def scan_tables(holders: DataFrame, roots: DataFrame, selectors: DataFrame, extr
     found = findings.locate(candidates(holders, roots, extras, folder), selectors)
     arrival = F.struct("page_id", "frame_id", "detector_ord", "e")
     first = findings.collect(found.withColumn("arrival", arrival)).drop("arrival", "detector", "detector_ord", "frame_id", "e")
-    return ScanResult(first.persist())  # reports read it several times
+    return ScanResult(stored(first, "findings"))  # reports read it several times
 
 
 def scan(pages: DataFrame, css: str = "", extras: bool = True, folder: str | None = None) -> ScanResult:
     """Findings from ``page_id, url, html``; frames are parsed once, however many detectors look at them."""
-    frames = html_source.read_frames(pages, css).persist()  # holders, roots and selectors come from it; lost blocks are parsed again
+    frames = html_source.read_frames(pages, css)
     return scan_tables(*html_source.tables(frames), extras=extras, folder=folder)
 
 

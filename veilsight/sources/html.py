@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions import text as X
 from ..functions import urls as U
-from .tables import spread
+from .tables import spread, stored
 
 MOST_HOLDERS, OWN_TEXT, FULL_TEXT, MOST_LINKS, MOST_SCRIPT, MOST_JUMPS = 20000, X.OWN_TEXT, X.FULL_TEXT, 5000, 200000, 50
 FONT_SIZE, OPACITY, ALPHA, CONTRAST, INDENT = 1.0, 0.1, 0.1, 1.1, 100.0
@@ -539,14 +539,14 @@ def read_frames(pages: DataFrame, css: str = "", nested: int = 2) -> DataFrame:
     Frames with a source are found among the stored pages by their address, ``nested`` levels deep at most.
     """
     whole = spread(pages.select("page_id", "url", "html")).select("page_id", "url", F.explode(frames_udf(css)("html", "url")).alias("f")).select("page_id", "url", "f.*")
-    whole = whole.persist()  # parsed once, though the levels of frames below read it again
+    whole = stored(whole, "frames")  # parsed once, though the levels of frames below read it again
     own = whole.withColumn("path", F.col("frame_id").cast("string"))
-    stored = own.select(U.key("url").alias("k"), *[F.col(c).alias(f"in_{c}") for c in ("frame_id", "prefix", "truncated", "holders", "roots", "selectors", "links", "srcs")])
+    known = own.select(U.key("url").alias("k"), *[F.col(c).alias(f"in_{c}") for c in ("frame_id", "prefix", "truncated", "holders", "roots", "selectors", "links", "srcs")])
     out, last = own, own
     for _ in range(nested):
         wanted = last.select("page_id", "url", "path", F.posexplode("srcs").alias("n", "s"))
         wanted = wanted.select("page_id", "url", F.concat_ws(".", "path", F.col("n").cast("string")).alias("path"), F.col("s.prefix").alias("outer"), U.key("s.src").alias("k"))
-        last = wanted.join(stored, "k").select(
+        last = wanted.join(known, "k").select(
             "page_id", "url", F.col("in_frame_id").alias("frame_id"), F.concat("outer", "in_prefix").alias("prefix"), F.col("in_truncated").alias("truncated"),
             F.col("in_holders").alias("holders"), F.col("in_roots").alias("roots"), F.col("in_selectors").alias("selectors"), F.col("in_links").alias("links"),
             F.col("in_srcs").alias("srcs"), F.concat_ws("/", "path", F.col("in_frame_id").cast("string")).alias("path"),

@@ -1,7 +1,12 @@
-"""Stored tables, spread over the cores where files alone would not."""
+"""Stored tables: reading, spreading small ones over the cores, and writing results that are read several times."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,3 +25,27 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _folder(spark: SparkSession) -> str | None:
+    """Where executors share files: ``spark.checkpoint.dir``; locally a temporary folder will do."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where or not spark.sparkContext.master.startswith("local["):
+        return where
+    where = tempfile.mkdtemp(prefix="veilsight-")
+    atexit.register(shutil.rmtree, where, True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{where}")
+    return f"file://{where}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once and read back, so that later steps plan from a table and not from all before.
+
+    Without a shared folder on a cluster they are kept by ``persist`` instead, and parsed anew if lost.
+    """
+    folder = _folder(df.sparkSession)
+    if folder is None:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
