@@ -16,7 +16,7 @@ from . import sqlgen as S
 from .registry import pick, query, sql_pick, sql_text, table
 
 # ---------------------------------------------------------------- trees: blocks of 50 documents, node i under i div 2
-_TREE = "(SELECT doc_id // 50 AS page_id, 0 AS frame_id, (doc_id % 50 + 1)::INTEGER AS e, CASE WHEN doc_id % 50 > 0 THEN ((doc_id % 50 + 1) // 2)::INTEGER END AS p, doc_id AS id FROM documents)"
+_TREE = "(SELECT doc_id // 50 AS page_id, 0 AS frame_id, (doc_id % 50 + 1)::INTEGER AS e, CASE WHEN doc_id % 50 > 0 THEN ((doc_id % 50 + 1) // 2)::INTEGER END AS p, doc_id AS id, lang, n_chars FROM documents)"
 _UP = (
     f"up(page_id, e, anc) AS (SELECT page_id, e, p FROM {_TREE} WHERE p IS NOT NULL UNION ALL"
     f" SELECT u.page_id, u.e, t.p FROM up u JOIN {_TREE} t ON t.page_id = u.page_id AND t.e = u.anc WHERE t.p IS NOT NULL)"
@@ -27,7 +27,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("doc_id") % 50
     return table(spark, sf_dir, "documents").select(
         F.floor(F.col("doc_id") / 50).alias("page_id"), F.lit(0).alias("frame_id"), (at + 1).cast("int").alias("e"),
-        F.when(at > 0, F.floor((at + 1) / 2).cast("int")).alias("p"), F.col("doc_id").alias("id"),
+        F.when(at > 0, F.floor((at + 1) / 2).cast("int")).alias("p"), F.col("doc_id").alias("id"), "lang", "n_chars",
     )
 
 
@@ -50,12 +50,12 @@ def hidden_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {_UP} SELECT page_id, e FROM (SELECT page_id, e, id % 2 = 0 AS via_full FROM {_TREE} WHERE id % 3 = 0) f WHERE NOT via_full OR NOT EXISTS"
-    f" (SELECT 1 FROM up u JOIN {_TREE} d ON d.page_id = u.page_id AND d.e = u.e WHERE d.id % 3 = 0 AND u.page_id = f.page_id AND u.anc = f.e)"
+    f"WITH RECURSIVE {_UP} SELECT page_id, e FROM (SELECT page_id, e, n_chars > 1500 AS via_full FROM {_TREE} WHERE lang = 'en') f WHERE NOT via_full OR NOT EXISTS"
+    f" (SELECT 1 FROM up u JOIN {_TREE} d ON d.page_id = u.page_id AND d.e = u.e WHERE d.lang = 'en' AND u.page_id = f.page_id AND u.anc = f.e)"
 )
 def text_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _tree(spark, sf_dir)
-    found = tree.where("id % 3 = 0").select("page_id", "frame_id", "e", (F.col("id") % 2 == 0).alias("via_full"))
+    found = tree.where("lang = 'en'").select("page_id", "frame_id", "e", (F.col("n_chars") > 1500).alias("via_full"))
     return suppress_full(found, H.closure(tree)).select("page_id", "e")
 
 
@@ -118,7 +118,7 @@ _F = (
     f" CASE WHEN page_id % 17 = 0 THEN ' ' ELSE 'div > p:nth-of-type(' || (page_id % 3) || ')' END AS location, {sql_pick(_TECH, 'page_id')} AS technique,"
     " CASE WHEN page_id % 5 = 4 THEN 'CLIPPED' END AS extra_type, 'text ' || (page_id % 4) AS evidence_text FROM pages"
     " UNION ALL SELECT page_id + 100000, url || '#again', 'div > p:nth-of-type(' || (page_id % 3) || ')', "
-    f"{sql_pick(_TECH, 'page_id')}, CASE WHEN page_id % 5 = 4 THEN 'CLIPPED' END, 'later' FROM pages WHERE page_id % 2 = 0)"
+    f"{sql_pick(_TECH, 'page_id')}, CASE WHEN page_id % 5 = 4 THEN 'CLIPPED' END, 'later' FROM pages WHERE contains(url, '/en/'))"
 )
 _KIND = "technique || coalesce(':' || extra_type, '')"
 _KEY = f"({S.key('url')} || chr(10) || location || chr(10) || {_KIND})"
@@ -135,7 +135,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("arrival"), F.when(i % 13 == 0, shouted).otherwise(F.col("url")).alias("url"), F.when(i % 17 == 0, " ").otherwise(place).alias("location"),
         pick(_TECH, i).alias("technique"), extra.alias("extra_type"), F.concat(F.lit("text "), (i % 4).cast("string")).alias("evidence_text"),
     )
-    again = p.where("page_id % 2 = 0").select(
+    again = p.where("contains(url, '/en/')").select(
         (i + 100000).alias("arrival"), F.concat("url", F.lit("#again")).alias("url"), place.alias("location"), pick(_TECH, i).alias("technique"), extra.alias("extra_type"), F.lit("later").alias("evidence_text")
     )
     return first.unionByName(again)
@@ -191,20 +191,20 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"SELECT e.key, status, memo, updated_at, CASE WHEN s.key IS NOT NULL THEN '{_SCAN}' ELSE last_seen_at END AS last_seen_at, reappeared OR (s.key IS NOT NULL AND status = 'resolved'"
-    f" AND last_seen_at IS DISTINCT FROM '{_SCAN}' AND (updated_at IS NULL OR updated_at <= '{_SCAN}')) AS reappeared FROM {_ENTRIES} e LEFT JOIN (SELECT 'k' || page_id AS key FROM pages WHERE page_id % 2 = 0) s ON s.key = e.key"
+    f" AND last_seen_at IS DISTINCT FROM '{_SCAN}' AND (updated_at IS NULL OR updated_at <= '{_SCAN}')) AS reappeared FROM {_ENTRIES} e LEFT JOIN (SELECT 'k' || page_id AS key FROM pages WHERE contains(url, '/en/')) s ON s.key = e.key"
 )
 def review_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("k"), F.col("page_id").cast("string")).alias("key"))
+    seen = table(spark, sf_dir, "pages").where("contains(url, '/en/')").select(F.concat(F.lit("k"), F.col("page_id").cast("string")).alias("key"))
     return R.merge_scan(_entries(spark, sf_dir), seen, _SCAN)
 
 
 @query(
     f"SELECT coalesce(e.key, c.key) AS key, CASE WHEN c.key IS NULL THEN status ELSE 'confirmed' END AS status, CASE WHEN c.key IS NULL THEN memo ELSE '' END AS memo, CASE WHEN c.key IS NULL THEN updated_at ELSE 'now' END AS updated_at,"
-    f" last_seen_at, CASE WHEN c.key IS NULL THEN reappeared ELSE false END AS reappeared FROM {_ENTRIES} e FULL JOIN (SELECT 'k' || (page_id * 2) AS key FROM pages WHERE page_id % 5 = 0) c ON c.key = e.key"
+    f" last_seen_at, CASE WHEN c.key IS NULL THEN reappeared ELSE false END AS reappeared FROM {_ENTRIES} e FULL JOIN (SELECT 'k' || (page_id * 2) AS key FROM pages WHERE contains(url, '?')) c ON c.key = e.key"
 )
 def review_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("k"), (F.col("page_id") * 2).cast("string")).alias("key")
-    changes = table(spark, sf_dir, "pages").where("page_id % 5 = 0").select(key, F.lit("confirmed").alias("status"), F.lit(None).cast("string").alias("memo"), F.lit("now").alias("updated_at"))
+    changes = table(spark, sf_dir, "pages").where("contains(url, '?')").select(key, F.lit("confirmed").alias("status"), F.lit(None).cast("string").alias("memo"), F.lit("now").alias("updated_at"))
     return R.set_status(_entries(spark, sf_dir), changes)
 
 

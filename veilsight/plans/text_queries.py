@@ -29,11 +29,11 @@ def _fold(name: str, cases: list[str], column, sql: str) -> None:
     """Folds both a made-up case and the stored text."""
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(cases, F.col("doc_id")), F.lit(" "), F.substring("text", 1, 200)).alias("t"))
+        df = table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(cases, F.col("doc_id")), F.lit(" "), F.col("text")).alias("t"))
         return df.select("doc_id", column(F.col("t")).alias("v"))
 
     f.__name__ = name
-    query(f"SELECT doc_id, {sql} AS v FROM (SELECT doc_id, {sql_pick(cases, 'doc_id')} || ' ' || substr(text, 1, 200) AS t FROM documents)")(f)
+    query(f"SELECT doc_id, {sql} AS v FROM (SELECT doc_id, {sql_pick(cases, 'doc_id')} || ' ' || text AS t FROM documents)")(f)
 
 
 _WIDE = ["ｃａｓｉｎｏ ７７７", "𝐜𝐚𝐬𝐢𝐧𝐨", "plain", "ⓒⓐⓢⓘⓝⓞ", "Ａ－Ｂ＿Ｃ"]

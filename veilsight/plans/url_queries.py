@@ -68,13 +68,13 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FR.links(table(spark, sf_dir, "pages")).select("page_id", "link", "ord")
 
 
-_SCOPE = f"(SELECT DISTINCT {S.bare_host('url')} AS h FROM pages WHERE page_id % 2 = 0)"
+_SCOPE = f"(SELECT DISTINCT {S.bare_host('url')} AS h FROM pages WHERE contains(url, '/en/'))"
 
 
 @query(f"SELECT page_id, url FROM pages WHERE {S.bare_host('url')} IN (SELECT h FROM {_SCOPE})")
 def scope_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return FR.in_scope(pages, "url", pages.where("page_id % 2 = 0"), "url").select("page_id", "url")
+    return FR.in_scope(pages, "url", pages.where("contains(url, '/en/')"), "url").select("page_id", "url")
 
 
 _VISITABLE = f"(SELECT page_id, link, ord FROM {_FIRST_LINKS} WHERE {S.bare_host('link')} IN (SELECT h FROM {_SCOPE}) AND NOT {S.is_file('link')} AND NOT {S.destructive('link')})"
@@ -83,7 +83,7 @@ _VISITABLE = f"(SELECT page_id, link, ord FROM {_FIRST_LINKS} WHERE {S.bare_host
 @query(f"SELECT page_id, link, ord FROM {_VISITABLE}")
 def link_visitable(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return FR.visitable(FR.links(pages), "link", pages.where("page_id % 2 = 0"), "url").select("page_id", "link", "ord")
+    return FR.visitable(FR.links(pages), "link", pages.where("contains(url, '/en/')"), "url").select("page_id", "link", "ord")
 
 
 _OFFERS = f"(SELECT page_id AS ord, (page_id % 4)::INTEGER AS depth, u AS url FROM {_U} UNION ALL SELECT page_id + 1000000, 1, url FROM pages)"
@@ -126,17 +126,18 @@ def frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH k AS MATERIALIZED (SELECT * FROM {_QUEUE}) SELECT ord, score FROM k WHERE ord % 5 <> 0 UNION ALL"
-    f" SELECT ord + 10000000, score + 1000 FROM k WHERE ord % 5 = 0 AND vkey NOT IN (SELECT vkey FROM k WHERE ord % 10 = 0)"
+    f"WITH k AS MATERIALIZED (SELECT * FROM {_QUEUE}) SELECT ord, score FROM k WHERE NOT contains(url, '?') UNION ALL"
+    f" SELECT ord + 10000000, score + 1000 FROM k WHERE contains(url, '?') AND vkey NOT IN (SELECT vkey FROM k WHERE contains(url, 'page='))"
 )
 def frontier_requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = FR.offer(_offers(spark, sf_dir))
-    refused, before = queue.where("ord % 5 = 0"), queue.where("ord % 10 = 0").select("vkey")
-    return FR.requeue(queue.where("ord % 5 <> 0"), refused, before, 10000000).select("ord", "score")
+    query = F.contains("url", F.lit("?"))
+    refused, before = queue.where(query), queue.where("contains(url, 'page=')").select("vkey")
+    return FR.requeue(queue.where(~query), refused, before, 10000000).select("ord", "score")
 
 
-@query(f"SELECT ord, vkey FROM {_NEW} WHERE vkey NOT IN (SELECT {S.visit_key('url')} FROM pages WHERE page_id % 3 = 0)")
+@query(f"SELECT ord, vkey FROM {_NEW} WHERE vkey NOT IN (SELECT {S.visit_key('url')} FROM pages WHERE contains(url, '?'))")
 def frontier_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages reached by redirects count as seen."""
-    seen = table(spark, sf_dir, "pages").where("page_id % 3 = 0").select(U.visit_key("url").alias("vkey"))
+    seen = table(spark, sf_dir, "pages").where("contains(url, '?')").select(U.visit_key("url").alias("vkey"))
     return FR.unseen(FR.first_offers(_offers(spark, sf_dir)), seen).select("ord", "vkey")
