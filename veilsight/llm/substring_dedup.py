@@ -5,8 +5,9 @@ inside it with the smallest hash; equal full windows have equal anchors, so a wi
 in a single document only is repeated nowhere and drops out. Level 2 extends the surviving places, and
 them alone, to the full length and finds the smallest document of each window; if no candidate survives
 a level, the next one is not run. Nothing but anchors (about two per 27 words), surviving windows and
-one text column per level is moved, whatever the size of a group of copies: groups are reduced map-side
-to a minimum and met again by a plain equi-join.
+one text column per level is moved, whatever the size of a group of copies: of equal windows in a slice
+of a map task only those of the smallest document are sent on, the others being settled there, groups
+are reduced map-side to a minimum, and windows meet it by a plain equi-join.
 
 Rule: a word goes if a window of ``width`` consecutive words covers it whose word sequence also starts
 in a document with a smaller ``doc_id``; windows are judged on the input. Window hashes have 128 bits.
@@ -27,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Windows, covered, emit, materialise, signed, sliced, sliding_min, texts, word_hashes
+from ._common import Windows, emit, materialise, signed, sliced, sliding_min, texts, word_hashes
 
 WIDTH = 50
 
 _LEVEL1 = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("anchors", pa.list_(pa.int64()))])
-_LEVEL2 = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+_LEVEL2 = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
 
 def anchors(symbols: np.ndarray, width: int) -> np.ndarray:
@@ -61,25 +62,42 @@ def _level1(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _level2(found: DataFrame, width: int) -> DataFrame:
-    """Windows at the surviving places of ``doc_id, text, live``."""
+    """Windows at the surviving places of ``doc_id, text, live``.
+
+    Rows without ``k1`` are settled: runs of ``n`` windows from ``at`` on that go, since the slice itself
+    holds a smaller document with each of them.
+    """
 
     def run(batches):
         for batch in sliced(batches):
             ids = batch.column(0).to_pylist()
             live = batch.column(batch.schema.get_field_index("live"))
-            k1, k2, own, at = [], [], [], []
+            parts = []
             for i, text in enumerate(texts(batch)):
                 w = word_hashes(text.split())
                 alive = np.unique(live[i].values.to_numpy().view(np.uint64))
                 a = anchors(w, width)
                 place = np.minimum(np.searchsorted(alive, a), len(alive) - 1)
                 here = np.flatnonzero(alive[place] == a)
-                k1.append(Windows(w).of(width)[here]), k2.append(Windows(w, True).of(width)[here])
-                own.append(np.full(len(here), ids[i])), at.append(here)
-            k1, k2 = signed(np.concatenate(k1)), signed(np.concatenate(k2))
-            yield emit(_LEVEL2, k1=k1, k2=k2, doc_id=np.concatenate(own), at=np.concatenate(at).astype(np.int32))
-
-    return found.mapInArrow(run, "k1 long, k2 long, doc_id long, at int")
+                parts.append((Windows(w).of(width)[here], Windows(w, True).of(width)[here], np.full(len(here), ids[i]), here))
+            k1, k2, own, at = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((at, own, k2, k1))
+            k1, k2, own, at = k1[order], k2[order], own[order], at[order].astype(np.int32)
+            head = np.ones(len(k1), bool)
+            head[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            least = own[np.maximum.accumulate(np.where(head, np.arange(len(k1)), 0))]
+            sent = own == least
+            yield emit(_LEVEL2, k1=signed(k1[sent]), k2=signed(k2[sent]), doc_id=own[sent], at=at[sent], n=np.ones(sent.sum(), np.int32))
+            own, at = own[~sent], at[~sent]
+            if len(own):
+                order = np.lexsort((at, own))
+                own, at = own[order], at[order]
+                cut = np.flatnonzero((np.diff(own) != 0) | (np.diff(at) > 1)) + 1
+                lo, hi = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(own) - 1]])
+                none = [None] * len(lo)
+                yield emit(_LEVEL2, k1=none, k2=none, doc_id=own[lo], at=at[lo], n=at[hi] - at[lo] + 1)
+
+    return found.mapInArrow(run, "k1 long, k2 long, doc_id long, at int, n int")
 
 
 def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -95,24 +113,28 @@ def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     live = places.join(alive, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("live"))
     live = materialise(live.join(whole, "doc_id", "left_anti"), "live")
 
-    starts = whole.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
+    starts = whole.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<at:int,n:int>>").alias("starts"))
     if live.isEmpty():
         return starts
     found = _ids(docs).join(live, "doc_id")
     second = materialise(_level2(found, width), "level2")
-    least = second.groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    gone = second.join(least, ["k1", "k2"]).where("doc_id > a")
-    gone = gone.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    least = second.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    gone = second.join(least, ["k1", "k2"]).where("doc_id > a").select("doc_id", "at", "n")
+    gone = gone.unionByName(second.where("k1 is null").select("doc_id", "at", "n"))
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
     return materialise(starts.unionByName(gone.select("doc_id", F.lit(False).alias("whole"), "starts")), "starts")
 
 
-def gone_words(n: int, whole: bool | None, starts, width: int = WIDTH) -> np.ndarray:
+def gone_words(n: int, whole: bool | None, starts: pa.StructArray | None, width: int = WIDTH) -> np.ndarray:
     """Mask of the words that go."""
     if whole:
         return np.ones(n, bool)
-    if starts is None or not len(starts):
-        return np.zeros(n, bool)
-    return covered(np.unique(np.asarray(starts, np.int64)), width, n)
+    edge = np.zeros(n + 1, np.int32)
+    if starts is not None and len(starts):
+        at, runs = (starts.field(k).to_numpy().astype(np.int64) for k in ("at", "n"))
+        np.add.at(edge, at, 1)
+        np.add.at(edge, np.minimum(at + runs - 1 + width, n), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -131,7 +153,7 @@ def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 if whole[i] is None:
                     kept, gone = ws, 0
                 else:
-                    mask = gone_words(len(ws), whole[i], None if whole[i] else starts[i].values.to_numpy(), width)
+                    mask = gone_words(len(ws), whole[i], None if whole[i] else starts[i].values, width)
                     kept, gone = [w for w, g in zip(ws, mask.tolist()) if not g], int(mask.sum())
                 n.append(len(ws)), lost.append(gone), sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield emit(_RESULT, doc_id=batch.column(0), n_words=n, n_removed=lost, kept_sha256=sha)
@@ -171,7 +193,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 for i, text in enumerate(texts(batch)):
                     if whole[i] is not None:
                         n = len(text.split())
-                        out[i] = cut(text, gone_words(n, whole[i], None if whole[i] else starts[i].values.to_numpy(), width)).decode()
+                        out[i] = cut(text, gone_words(n, whole[i], None if whole[i] else starts[i].values, width)).decode()
             cols = []
             for f in fields:
                 col = batch.column(batch.schema.get_field_index(f.name))
