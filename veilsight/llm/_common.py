@@ -142,9 +142,7 @@ def shared_dir(spark: SparkSession) -> str:
 def _sweep() -> None:
     for path, spark in _made.items():
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the folder belongs to the cluster
             return
 
@@ -159,7 +157,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _made[path] = spark
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of finished jobs
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a written table that no later plan reads."""
+    _made.pop(table.written_to, None)
+    _delete(table.sparkSession, table.written_to)
 
 
 def emit(schema: pa.Schema, **columns) -> pa.RecordBatch:

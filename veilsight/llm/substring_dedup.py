@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Windows, emit, materialise, signed, sliced, sliding_min, texts, word_hashes
+from ._common import Windows, discard, emit, materialise, signed, sliced, sliding_min, texts, word_hashes
 
 WIDTH = 50
 
 _LEVEL1 = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("anchors", pa.list_(pa.int64()))])
-_LEVEL2 = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+_LEVEL2 = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int64())])
 
 
 def anchors(symbols: np.ndarray, width: int) -> np.ndarray:
@@ -64,8 +64,9 @@ def _level1(docs: DataFrame, width: int) -> DataFrame:
 def _level2(found: DataFrame, width: int) -> DataFrame:
     """Windows at the surviving places of ``doc_id, text, live``.
 
-    Rows without ``k1`` are settled: runs of ``n`` windows from ``at`` on that go, since the slice itself
-    holds a smaller document with each of them.
+    A run is its first place and, in the low 32 bits, its number of windows, one where there are hashes.
+    Rows without ``k1`` are settled: their windows go, since the slice itself holds a smaller document
+    with each of them.
     """
 
     def run(batches):
@@ -82,12 +83,12 @@ def _level2(found: DataFrame, width: int) -> DataFrame:
                 parts.append((Windows(w).of(width)[here], Windows(w, True).of(width)[here], np.full(len(here), ids[i]), here))
             k1, k2, own, at = (np.concatenate(c) for c in zip(*parts))
             order = np.lexsort((at, own, k2, k1))
-            k1, k2, own, at = k1[order], k2[order], own[order], at[order].astype(np.int32)
+            k1, k2, own, at = k1[order], k2[order], own[order], at[order].astype(np.int64)
             head = np.ones(len(k1), bool)
             head[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
             least = own[np.maximum.accumulate(np.where(head, np.arange(len(k1)), 0))]
             sent = own == least
-            yield emit(_LEVEL2, k1=signed(k1[sent]), k2=signed(k2[sent]), doc_id=own[sent], at=at[sent], n=np.ones(sent.sum(), np.int32))
+            yield emit(_LEVEL2, k1=signed(k1[sent]), k2=signed(k2[sent]), doc_id=own[sent], run=(at[sent] << 32) + 1)
             own, at = own[~sent], at[~sent]
             if len(own):
                 order = np.lexsort((at, own))
@@ -95,9 +96,9 @@ def _level2(found: DataFrame, width: int) -> DataFrame:
                 cut = np.flatnonzero((np.diff(own) != 0) | (np.diff(at) > 1)) + 1
                 lo, hi = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(own) - 1]])
                 none = [None] * len(lo)
-                yield emit(_LEVEL2, k1=none, k2=none, doc_id=own[lo], at=at[lo], n=at[hi] - at[lo] + 1)
+                yield emit(_LEVEL2, k1=none, k2=none, doc_id=own[lo], run=(at[lo] << 32) + at[hi] - at[lo] + 1)
 
-    return found.mapInArrow(run, "k1 long, k2 long, doc_id long, at int, n int")
+    return found.mapInArrow(run, "k1 long, k2 long, doc_id long, run long")
 
 
 def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -112,26 +113,30 @@ def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     alive = places.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     live = places.join(alive, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("live"))
     live = materialise(live.join(whole, "doc_id", "left_anti"), "live")
+    discard(first)
 
-    starts = whole.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<at:int,n:int>>").alias("starts"))
+    starts = whole.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("array<long>").alias("starts"))
     if live.isEmpty():
         return starts
     found = _ids(docs).join(live, "doc_id")
     second = materialise(_level2(found, width), "level2")
+    discard(live)
     least = second.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    gone = second.join(least, ["k1", "k2"]).where("doc_id > a").select("doc_id", "at", "n")
-    gone = gone.unionByName(second.where("k1 is null").select("doc_id", "at", "n"))
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
-    return materialise(starts.unionByName(gone.select("doc_id", F.lit(False).alias("whole"), "starts")), "starts")
+    gone = second.join(least, ["k1", "k2"]).where("doc_id > a").select("doc_id", "run")
+    gone = gone.unionByName(second.where("k1 is null").select("doc_id", "run"))
+    gone = gone.groupBy("doc_id").agg(F.collect_list("run").alias("starts"))
+    out = materialise(starts.unionByName(gone.select("doc_id", F.lit(False).alias("whole"), "starts")), "starts")
+    discard(second)
+    return out
 
 
-def gone_words(n: int, whole: bool | None, starts: pa.StructArray | None, width: int = WIDTH) -> np.ndarray:
+def gone_words(n: int, whole: bool | None, starts: pa.Array | None, width: int = WIDTH) -> np.ndarray:
     """Mask of the words that go."""
     if whole:
         return np.ones(n, bool)
     edge = np.zeros(n + 1, np.int32)
     if starts is not None and len(starts):
-        at, runs = (starts.field(k).to_numpy().astype(np.int64) for k in ("at", "n"))
+        at, runs = starts.to_numpy() >> 32, starts.to_numpy() & 0xFFFFFFFF
         np.add.at(edge, at, 1)
         np.add.at(edge, np.minimum(at + runs - 1 + width, n), -1)
     return np.cumsum(edge[:-1]) > 0
