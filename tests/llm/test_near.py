@@ -92,6 +92,33 @@ def test_one_of_each_group_stays(spark):
     assert kept == {min(g) for g in groups}
 
 
+def at_similarity(rng, shared, own, word):
+    """Two texts whose sets of five-word shingles share ``shared``; the second has ``own`` more."""
+    a = [word() for _ in range(shared + 4)]
+    return " ".join(a), " ".join(a + [word() for _ in range(own)])
+
+
+@pytest.mark.parametrize("group_shingles", [3000, simhash.GROUP_SHINGLES])
+def test_links_hold_on_the_sets_themselves(spark, group_shingles):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    rows, want = [], []
+    for shared, own in [(20, 5), (20, 6), (400, 126), (400, 119), (400, 109), (400, 101), (400, 100), (400, 94), (400, 88), (400, 76)] * 12:
+        for text in at_similarity(rng, shared, own, word):
+            rows.append((len(rows), text))
+        first = rows[-2][0]
+        want += [first, first if 5 * shared >= 4 * (shared + own) else first + 1]
+    chain = [word() for _ in range(404 + 8 * 60)]
+    for k in range(9):  # neighbours at 340/460, so none is linked, but all are proposed
+        rows.append((len(rows), " ".join(chain[60 * k : 60 * k + 404])))
+        want.append(rows[-1][0])
+    rows += [(None, x) for x in at_similarity(rng, 400, 90, word)] + [(7, rows[0][1] + " and other words at its end that are many enough")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.similar_documents(df.repartition(3), group_shingles=group_shingles).where("doc_id is not null").collect()
+    seen = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] != 7}
+    assert [i for i, w in enumerate(want) if i != 7 and seen[i] != w] == []
+
+
 def test_stage_on_odd_rows(odd, empty):
     out = simhash.keep_one(odd)
     assert out.columns == odd.columns

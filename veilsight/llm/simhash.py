@@ -15,6 +15,8 @@ only one; an empty table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -220,10 +222,12 @@ def hex_fingerprint(fp: str = "fp"):
 
 # ---------------------------------------------------------------- documents at a similarity
 WORDS, SIMILARITY = 5, 0.8
-#: Taken off the similarity, as the estimate from 1024 bits has a standard error of about 0.025 there.
-MARGIN = 0.02
+#: Standard errors added to the radius, so that fingerprints lose no pair at the similarity, and what ties add in small sets.
+MARGIN, TIES = 4.5, 0.1
 BITS, BANDS, ROWS = 1024, 16, 4
 GROUP_ROWS = 32768
+#: Shingles of one task's group of sets; larger groups are dealt out as pairs of parts.
+GROUP_SHINGLES = 4 << 20
 
 _SEEDS = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, BITS // 64 + BANDS * ROWS, np.uint64)
 _WIDE = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("fp", pa.binary())])
@@ -236,6 +240,11 @@ def shingle_set(text: bytes, shingle: int = WORDS) -> np.ndarray:
     return np.unique(Windows(w).of(min(shingle, max(len(w), 1))))
 
 
+def set_node(s: np.ndarray) -> int:
+    """Identity of a shingle set."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
+
+
 def wide_sketch(s: np.ndarray) -> tuple[int, list[int], bytes]:
     """Identity of a shingle set, its min-hash bands and its SimHash of ``BITS`` bits."""
     if not len(s):
@@ -249,22 +258,43 @@ def wide_sketch(s: np.ndarray) -> tuple[int, list[int], bytes]:
         fp.append(np.packbits(2 * ones > len(s), bitorder="little").tobytes())
     least = np.array([mix(s ^ seed).min() for seed in _SEEDS[BITS // 64 :]], np.uint64).reshape(BANDS, ROWS)
     bands = [xxhash.xxh3_64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), bands, b"".join(fp)
+    return set_node(s), bands, b"".join(fp)
 
 
 def radius_of(a: np.ndarray, b: int, similarity: float) -> np.ndarray:
-    """Differing bits expected of two sets of ``a`` and ``b`` shingles at this Jaccard similarity."""
-    similarity -= MARGIN
+    """Most differing bits of two sets of ``a`` and ``b`` shingles at this Jaccard similarity; -1 where their sizes rule it out."""
     cosine = similarity / (1 + similarity) * (a + b) / np.sqrt(a * float(b))
-    return np.where(cosine > 1, -1, BITS * np.arccos(np.minimum(cosine, 1)) / np.pi)
+    share = np.arccos(np.minimum(cosine, 1)) / np.pi + TIES / np.sqrt(np.minimum(a, b))
+    return np.where(cosine > 1, -1, BITS * share + MARGIN * np.sqrt(BITS * share * (1 - share)))
+
+
+def overlaps(sets: list[np.ndarray], similarity: float, limit: int = 1 << 20) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Tells which of the sets ``near`` have at least this Jaccard similarity with set ``p``, by counting what they share."""
+    least = Fraction(str(similarity))
+    n = np.array([len(s) for s in sets], np.int64)
+
+    def check(p: int, near: np.ndarray) -> np.ndarray:
+        mine, ends = sets[p], np.cumsum(n[near])
+        shared, at = np.zeros(len(near), np.int64), 0
+        while at < len(near):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            theirs = np.concatenate([sets[k] for k in near[at:to]])
+            found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            shared[at:to] = np.add.reduceat(found, ends[at:to] - n[near[at:to]] - (ends[at - 1] if at else 0), dtype=np.int64)
+            at = to
+        return least.denominator * shared >= least.numerator * (n[near] + n[p] - shared)
+
+    return check
 
 
-def wide_forest(fps: np.ndarray, n: np.ndarray, similarity: float, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def wide_forest(
+    fps: np.ndarray, n: np.ndarray, similarity: float, late: np.ndarray | None = None, check: Callable[[int, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest ``(member, root)`` of the links in one tile, fingerprints as rows of 64-bit numbers.
 
     Each member in turn is compared with the whole tile; members of the largest tree come last, and as
     soon as only they are left the rest can't join anything new. With ``late``, only links between its
-    two sides count.
+    two sides count; with ``check``, only those that it confirms.
     """
     m = len(fps)
     trees = _Forest(m)
@@ -280,10 +310,12 @@ def wide_forest(fps: np.ndarray, n: np.ndarray, similarity: float, late: np.ndar
         for p in open_[:1] if size.max() == 1 else open_[:64]:
             todo[p] = False
             radius = radius_of(n, n[p], similarity)
-            near = np.flatnonzero((roots != roots[p]) & (np.abs(pops - pops[p]) <= radius))
+            near = np.flatnonzero(todo & (roots != roots[p]) & (np.abs(pops - pops[p]) <= radius))
             if late is not None:
                 near = near[late[near] != late[p]]
             near = near[np.bitwise_count(fps[near] ^ fps[p]).sum(1, dtype=np.int64) <= radius[near]]
+            if check is not None and len(near):
+                near = near[check(p, near)]
             if len(near):
                 trees.join(near, np.full(len(near), p))
                 roots = trees.roots()
@@ -296,24 +328,59 @@ def _wide_edges(batches, keys: list[str], similarity: float):
         node, n = table["node"].to_numpy(), table["n"].to_numpy().astype(np.int64)
         fps = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(len(node), -1)
         side = table["side"].to_numpy() if "side" in table.column_names else None
+        held = table["shingles"].combine_chunks() if "shingles" in table.column_names else None
         us, vs = [], []
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a < 2:
                 continue
-            i, j = wide_forest(fps[a:b], n[a:b], similarity, None if side is None or not side[a:b].any() else side[a:b])
+            check = held and overlaps([np.frombuffer(x.as_buffer(), np.uint64) for x in held[a:b]], similarity)
+            i, j = wide_forest(fps[a:b], n[a:b], similarity, None if side is None or not side[a:b].any() else side[a:b], check)
             us.append(node[a + i]), vs.append(node[a + j])
         if us:
             yield emit(_EDGE, u=np.concatenate(us), v=np.concatenate(vs))
 
 
-def similar_documents(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+_SET = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+
+def _true_edges(src: DataFrame, least: DataFrame, blocks: DataFrame, shingle: int, similarity: float, group_shingles: int) -> DataFrame:
+    """Edges that connect all nodes of a block (column ``root``) whose shingle sets are this similar; one text of each node is read again."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            wanted = batch.column(2).to_pylist()
+            sets = [shingle_set(x, shingle) for x in texts(batch)]
+            nodes = [set_node(s) for s in sets]
+            take = [k for k, (a, b) in enumerate(zip(nodes, wanted)) if b is None or a == b]
+            yield emit(_SET, node=[nodes[k] for k in take], shingles=[sets[k].tobytes() for k in take])
+
+    members = least.join(blocks, "node")
+    known = src.join(members.select(F.col("least").alias("doc_id"), F.col("node").alias("wanted")), "doc_id").select("doc_id", "text", "wanted")
+    nameless = src.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("wanted"))
+    sets = known.unionByName(nameless).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    parts_of = F.greatest(F.lit(1), F.ceil(F.sum("n") * 2 / group_shingles)).cast("int")
+    q = members.groupBy("root").agg(F.when(F.sum("n") > group_shingles, parts_of).otherwise(1).alias("q"))
+    held = sets.join(members.join(q, "root").select("node", "n", "fp", "root", "q"), "node")
+    held = held.withColumn("part", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    side = (F.col("part") > F.col("other")).cast("int").alias("side")
+    held = held.select("root", F.least("part", "other").alias("p1"), F.greatest("part", "other").alias("p2"), side, "node", "n", "fp", "shingles")
+    parts = max(1, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tile = ["root", "p1", "p2"]
+    held = held.repartition(parts, *tile).sortWithinPartitions(*tile)
+    return materialise(held.mapInArrow(lambda it: _wide_edges(it, tile, similarity), "u long, v long"), "true_edges")
+
+
+def similar_documents(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """``doc_id, component_id`` per row of ``docs``: components of documents whose shingle sets are this similar.
 
     At a similarity of 0.8, fingerprints differ in about 15 % of their bits, so 64 bits are too few to
     tell (the standard error is 4.5 %) and no choice of equal bit blocks finds such pairs: fingerprints
     here have 1024 bits, the radius follows from the two set sizes, and tiles are the groups that agree
-    on one of 16 min-hash bands (a pair at 0.8 is missed with a chance of 0.0002). In a tile the
-    decision is again the exact comparison by exclusive-or and bit count.
+    on one of 16 min-hash bands (a pair at 0.8 is missed with a chance of 0.0002). Fingerprints only
+    propose: the radius takes in pairs somewhat below the similarity too. Every true link lies inside a
+    component of what is proposed; there, documents are linked if their shingle sets themselves are
+    this similar.
     """
 
     def run(batches):
@@ -345,6 +412,9 @@ def similar_documents(docs: DataFrame, shingle: int = WORDS, similarity: float =
     big = big.repartition(parts, *tile).sortWithinPartitions(*tile)
     edges = edges.unionByName(big.mapInArrow(lambda it: _wide_edges(it, tile, similarity), "u long, v long"))
 
+    blocks = materialise(components(edges), "blocks")
+    edges = _true_edges(src, least, blocks, shingle, similarity, group_shingles)
+
     roots = components(edges)
     named = least.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
