@@ -166,3 +166,17 @@ def test_host_words(spark):
     got = {r["host"].split(".")[0]: r for r in url_filter.judge(df).collect()}
     assert got["freebetscasino"]["host_words"].startswith("free bets casino") and got["freebetscasino"]["verdict"] == "block"
     assert got["bluegarden"]["verdict"] == "allow"
+
+
+def test_host_words_whatever_the_number_of_pages(spark):
+    names = ["freebets", "casinowin", "cheappills", "bestcasino", "freecasinobonus"]
+    hosts = [*names, *[f"garden{k}-news" for k in range(995)]]
+    df = spark.createDataFrame([(k, f"http://www.{h}.example.org/a/blue{k}") for k, h in enumerate(hosts)], "page_id long, url string")
+    model = url_filter.train(df)
+    want = ["free bets", "casino win", "cheap pills", "best casino", "free casino bonus"]
+    for times in (1, 100, 1000, 1_000_000):
+        more = url_filter.Model(model.pieces * times)
+        assert [" ".join(more.segment(n)) for n in names] == want
+        assert all(more.segment(w) == (w,) for w in ("blue17", "example"))
+    got = {r["page_id"]: r for r in url_filter.judge(df).collect()}
+    assert [got[k]["host_words"].split(" ", 1)[1].removesuffix(" example org") for k in range(5)] == want

@@ -48,6 +48,10 @@ PLAIN_WORDS = (
 ).split()
 
 CELLS = 1 << 16
+#: Pieces are counted in so many tables, each with other cells; the least of a piece's counts is the one least collided with.
+TABLES = 3
+#: Counts of pieces are taken as of a corpus of this size, in which each seed word occurs ``SEED`` times.
+CORPUS, SEED = 100.0, 1000.0
 LONGEST = 20
 _PIECE = re.compile(r"[^\W_]+")
 
@@ -74,13 +78,18 @@ def cell(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) % CELLS
 
 
+def piece_cells(piece: str) -> tuple[int, ...]:
+    h = xxhash.xxh3_64_intdigest(piece.encode("utf-8", "replace"))
+    return tuple((h >> 16 * k) % CELLS for k in range(TABLES))
+
+
 def pieces(part: str) -> list[str]:
     return _PIECE.findall(part.lower())
 
 
 @dataclass
 class Model:
-    """Counts of whole pieces for the unigram model; counts of words by class for naive Bayes."""
+    """Counts of whole pieces for the unigram model, a row for each table; counts of words by class for naive Bayes."""
 
     pieces: np.ndarray
     blocked: np.ndarray | None = None
@@ -89,19 +98,22 @@ class Model:
     n_plain: int = 0
 
     def __post_init__(self) -> None:
-        self.total = float(self.pieces.sum()) + 1000.0 * (len(BLOCKED_WORDS) + len(PLAIN_WORDS))
-        self.seeds = {w: 1000.0 for w in (*BLOCKED_WORDS, *PLAIN_WORDS) if len(w) > 1}
+        self.share = CORPUS / max(float(self.pieces[0].sum()), 1.0)
+        self.total = CORPUS + SEED * (len(BLOCKED_WORDS) + len(PLAIN_WORDS))
+        self.seeds = {w: SEED for w in (*BLOCKED_WORDS, *PLAIN_WORDS) if len(w) > 1}
         self.memo: dict[str, tuple[str, ...]] = {}
 
     def cost(self, word: str) -> float:
         """Negative log probability; what is no seed word costs more the longer it is, and unseen letters cost most.
 
-        A run-together name may be as frequent as its host, so counts are damped by the root and by length.
+        A run-together name may be as frequent as its host, so counts are damped by the root and by length. Counts
+        are shares of the corpus, so a piece is split alike however many pages there are.
         """
         if word in self.seeds:
             return -math.log(self.seeds[word] / self.total)
-        seen = math.sqrt(self.pieces[cell(word)]) if len(word) > 2 else 0.0
-        return math.log(self.total / seen) + 0.7 * max(0, len(word) - 6) if seen else math.log(self.total) + 2.5 * len(word)
+        unseen = math.log(self.total) + 2.5 * len(word)
+        n = min(self.pieces[k, at] for k, at in enumerate(piece_cells(word))) if len(word) > 2 else 0
+        return min(unseen, math.log(self.total) - 0.5 * math.log(n * self.share) + 0.7 * max(0, len(word) - 6)) if n else unseen
 
     def segment(self, piece: str) -> tuple[str, ...]:
         """Viterbi over all splits into words of at most ``LONGEST`` letters; digits and very long pieces stay whole."""
@@ -178,9 +190,11 @@ def train(pages: DataFrame) -> Model:
         host, path = split_url(url)
         for p in [*pieces(host), *pieces(path)]:
             if not p.isdigit():
-                add("pieces", cell(p))
+                for k, at in enumerate(piece_cells(p)):
+                    add(f"pieces{k}", at)
 
-    model = Model(_counted(pages, unigrams).get("pieces", none))
+    counted = _counted(pages, unigrams)
+    model = Model(np.array([counted.get(f"pieces{k}", none) for k in range(TABLES)]))
 
     def classes(url, add):
         words = model.words(*split_url(url))
