@@ -180,3 +180,9 @@ def test_host_words_whatever_the_number_of_pages(spark):
         assert all(more.segment(w) == (w,) for w in ("blue17", "example"))
     got = {r["page_id"]: r for r in url_filter.judge(df).collect()}
     assert [got[k]["host_words"].split(" ", 1)[1].removesuffix(" example org") for k in range(5)] == want
+
+
+def test_long_runs_are_split():
+    model = url_filter.Model(np.zeros((url_filter.TABLES, url_filter.CELLS)))
+    words = model.words("", "/" + "freecasinobonus" * 40)
+    assert words == ["/free", "/casino", "/bonus"] * 40 and model.spam_words(words) and not model.memo

@@ -116,11 +116,11 @@ class Model:
         return min(unseen, math.log(self.total) - 0.5 * math.log(n * self.share) + 0.7 * max(0, len(word) - 6)) if n else unseen
 
     def segment(self, piece: str) -> tuple[str, ...]:
-        """Viterbi over all splits into words of at most ``LONGEST`` letters; digits and very long pieces stay whole."""
+        """Viterbi over all splits into words of at most ``LONGEST`` letters; digits stay whole, long pieces are not remembered."""
         if piece in self.memo:
             return self.memo[piece]
         n = len(piece)
-        if n < 4 or piece.isdigit() or n > 256:
+        if n < 4 or piece.isdigit():
             return (piece,)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
         for end in range(1, n + 1):
@@ -132,9 +132,11 @@ class Model:
         while at:
             out.append(piece[back[at] : at])
             at = back[at]
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        self.memo[piece] = words = tuple(reversed(out))
+        words = tuple(reversed(out))
+        if n <= 256:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            self.memo[piece] = words
         return words
 
     def words(self, host: str, path: str) -> list[str]:
