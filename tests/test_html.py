@@ -72,3 +72,14 @@ def test_frames(spark):
     assert (1, 'iframe[src="http://e.com/b"] >>> body > p.z') in got and (2, "body > p.z") in got
     assert any(p == 1 and s.startswith("body > iframe:nth-of-type(2) >>> ") for p, s in got)
     spark.catalog.clearCache()
+
+
+def test_scan_reads_what_stored_pages_hold(spark, tmp_path):
+    from veilsight.plans import scan_queries as Q
+
+    put = ['<p class="y">ㅋㅏㅈㅣㄴㅗ 가입 문의</p>', '<p class="y">ｃａｓｉｎｏ 무료 쿠폰</p>', '<div class="y" style="display:none">온라인카지노 가입 문의</div>', '<p class="y">café résumé</p>']
+    pages = [(5 + 13 * k, f"http://a.example/{k}", f"<html><body>{x}</body></html>") for k, x in enumerate(put)]  # with the case that holds nothing
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in Q.scan_pages(spark, str(tmp_path)).collect()}
+    assert got == {(5, "body > p.y", "JAMO"), (18, "body > p.y", "HOMOGLYPH"), (31, "body > div.y", "OFFSCREEN")}
+    assert {r["t"] for r in Q.html_holders(spark, str(tmp_path)).collect()} >= {"온라인카지노 가입 문의"}

@@ -31,10 +31,13 @@ PAGES = [
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the stored text stays, without accents that may look like disguise
-    plain = F.regexp_replace("html", "[^\\x00-\\x7F]", "e")
+    """The stored pages as they are, with a case put first into each body."""
+    return with_cases(table(spark, sf_dir, "pages"))
+
+
+def with_cases(pages: DataFrame) -> DataFrame:
     put = F.concat(F.lit("<body>"), pick([x[0] for x in PAGES], F.col("page_id")))
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace(plain, F.lit("<body>"), put).alias("html"))
+    return pages.select("page_id", "url", F.replace(F.col("html"), F.lit("<body>"), put).alias("html"))
 
 
 _EXPECTED = f"(SELECT page_id, url, {sql_pick([x[1] for x in PAGES], 'page_id')} AS location, {sql_pick([x[2] for x in PAGES], 'page_id')} AS technique FROM pages)"
