@@ -39,13 +39,90 @@ def test_rule_counts(request, name):
     assert all(not r["kept"] for r in out.collect() if r["base_failed"])
 
 
-def test_em_finds_what_one_rule_tells():
-    """Junk of eight kinds, each failing its own rule."""
-    good = [1] * 8
-    patterns = [(good, 900), *[([*good[:k], -1, *good[k + 1 :]], 20) for k in range(8)]]
-    model = quality_rules.fit(patterns)
-    assert model.posterior(good) > 0.9 and all(model.posterior(p) < 0.5 for p, _ in patterns[1:])
-    assert quality_rules.fit([]).posterior([0] * 8) == pytest.approx(0.8)
+def slow_votes(t):
+    """The votes, each rule stated by itself."""
+    w = WORD.findall(t or "")
+    n, (_, chars, symbols, dup, rep, _) = len(w), slow_counts(t)
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    upper, lower = len(re.findall("[A-Z]", t or "")), len(re.findall("[a-z]", t or ""))
+    shout = len(re.findall(r"!!(?=[ \n])", t or "")) + (t or "").endswith("!!")
+    mark = re.compile(r"[#*$%&|<>]")
+
+    def rate(k, of, good, bad):
+        return 0 if not of else 1 if k / of <= good else -1 if k / of > bad else 0
+
+    mean = chars / max(n, 1)
+    some = n if n >= 20 else 0
+    return [
+        1 if n >= 50 else -1 if n < 20 else 0,
+        rate(rep, max(n, 1), 0.05, 0.3),
+        rate(symbols, max(n, 1), 0.05, 0.25),
+        rate(dup, len(lines) if len(lines) > 4 else 0, 0.2, 0.45),
+        rate(upper, upper + lower, 0.15, 0.4),
+        rate(sum(a == b for a, b in zip(w, w[1:])), n if n > 1 else 0, 0.05, 0.2),
+        0 if not n else 1 if 3 <= mean <= 12 else -1 if mean < 2 or mean > 20 else 0,
+        rate(shout, n, 0.05, 0.3),
+        rate(sum(bool(mark.search(x)) for x in w), n, 0.03, 0.2),
+        rate(sum(bool(mark.search(x)) for x in lines), len(lines), 0.1, 0.5),
+        rate(max(Counter(w).values(), default=0), some, 0.08, 0.2),
+        0 if not some else 1 if len(set(w)) / min(n, 7 * n**0.5) >= 0.6 else -1 if len(set(w)) / min(n, 7 * n**0.5) < 0.3 else 0,
+    ]
+
+
+@pytest.mark.parametrize("name", ["docs", "odd", "empty"])
+def test_votes(request, name):
+    df = request.getfixturevalue(name)
+    want = sorted(((i, slow_votes(t)) for i, t in inputs(df)), key=repr)
+    assert rows_of(quality_rules.rule_counts(df).select("doc_id", "votes")) == want
+
+
+def drawn(rng, n, balance, good, bad):
+    """Votes drawn from a model, and the classes that they were drawn from."""
+    truth = rng.random(n) < balance
+    right = rng.random((n, len(good))) < np.where(truth[:, None], good, bad)
+    votes = np.where(right == truth[:, None], 1, -1)
+    votes[rng.random(votes.shape) < 0.1] = 0
+    return truth, votes
+
+
+def test_em_estimates_accuracies_and_overrides_single_votes():
+    m = len(quality_rules.RULES)
+    rng = np.random.default_rng(2)
+    good, bad = np.linspace(0.8, 0.98, m), np.linspace(0.75, 0.35, m)
+    truth, votes = drawn(rng, 40000, 0.7, good, bad)
+    times = Counter(map(tuple, votes.tolist()))
+    model = quality_rules.fit([(list(p), n) for p, n in times.items()])
+    assert model.balance == pytest.approx(0.7, abs=0.03)
+    assert np.abs(np.array(model.on_good) - good).max() < 0.03 and np.abs(np.array(model.on_bad) - bad).max() < 0.06
+    kept = np.array([model.posterior(v) >= 0.5 for v in votes.tolist()])
+    single = (votes < 0).sum(1) == 1
+    drawn_from = quality_rules.LabelModel(0.7, tuple(good), tuple(bad))
+    best = np.array([drawn_from.posterior(v) >= 0.5 for v in votes.tolist()])
+    assert abs((kept == truth).mean() - (best == truth).mean()) < 0.003 and kept[single].mean() > 0.95
+    assert all(model.posterior([1] * k + [-1] + [1] * (m - k - 1)) > 0.5 for k in range(m))
+    assert quality_rules.fit([]).posterior([0] * m) == pytest.approx(0.8)
+
+
+def test_posterior_is_bayes():
+    model = quality_rules.LabelModel(0.6, tuple(np.linspace(0.6, 0.9, 12)), tuple(np.linspace(0.3, 0.8, 12)))
+    votes = [1, -1, 0, 1, 1, -1, -1, 0, 0, 1, -1, 1]
+    a, b = 0.6, 0.4
+    for v, g, d in zip(votes, model.on_good, model.on_bad):
+        if v:
+            a, b = a * (g if v > 0 else 1 - g), b * (d if v < 0 else 1 - d)
+    assert model.posterior(votes) == pytest.approx(a / (a + b))
+
+
+def test_one_bad_vote_is_outvoted_on_stored_documents(spark):
+    """Clean texts that trip one rule stay, junk that trips two goes."""
+    plain = " ".join(f"wo{k * 7919 % 613}rd" for k in range(120))
+    shouted = " ".join(f"WO{k * 7919 % 613}RD" for k in range(120))
+    starred = " ".join(f"wo{k * 7919 % 613}rd***" for k in range(120))
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    mine = spark.createDataFrame([(-1, plain), (-2, shouted), (-3, starred)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(rows.unionByName(mine)).where("doc_id < 0").collect()}
+    assert got[-1]["kept"] and got[-2]["kept"] and not got[-3]["kept"]
+    assert not any(r["base_failed"] for r in got.values())
 
 
 def test_rules_against_labels(spark):

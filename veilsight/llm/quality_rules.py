@@ -3,7 +3,8 @@
 Each rule looks at counts of the whole text and votes good (1), bad (-1) or abstains (0). The votes of
 all documents are counted by pattern (at most ``3 ** len(RULES)`` of them, whatever the corpus), and
 expectation-maximisation over that table estimates the class balance and each rule's accuracy under
-conditional independence. A document's posterior of being good replaces "all rules must pass".
+conditional independence. A document's posterior of being good replaces "all rules must pass": each kind
+of junk is looked at by two rules or more, so one bad vote alone may be outvoted and two rarely are.
 
 Defined cases: a null text has no words; an empty table gives an empty result; repeated rows are
 judged each by itself; other columns are never read.
@@ -23,8 +24,13 @@ from ._common import Windows, covered, emit, filter_rows, materialise, sliced, t
 
 WINDOW = 8
 #: Names of the rules, in the order of the votes.
-RULES = ("length", "repetition", "symbols", "duplicate_lines", "capitals", "stutter", "word_length", "exclamation")
+RULES = (
+    "length", "repetition", "symbols", "duplicate_lines", "capitals", "stutter", "word_length", "exclamation",
+    "marked_words", "marked_lines", "top_word", "variety",
+)
 
+#: Most that a rule's vote on a good document is trusted.
+SUREST = 0.99
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -45,6 +51,10 @@ def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
     return int(covered(np.flatnonzero(twice), width, len(hashes)).sum())
 
 
+def holds_symbol(x: bytes) -> bool:
+    return len(x.translate(None, _SYMBOLS)) < len(x)
+
+
 @dataclass
 class Counts:
     n_words: int
@@ -57,6 +67,10 @@ class Counts:
     lower: int
     stutter: int
     exclaimed: int
+    marked_words: int
+    marked_lines: int
+    top_word: int
+    different: int
 
     def base_failed(self) -> bool:
         return self.n_words < 20 or 100 * self.n_repeat_words > 30 * self.n_words
@@ -77,6 +91,11 @@ class Counts:
             vote(self.stutter / n, 0.05, 0.2) if self.n_words > 1 else 0,
             0 if not self.n_words else 1 if 3 <= mean <= 12 else -1 if mean < 2 or mean > 20 else 0,
             vote(self.exclaimed / n, 0.05, 0.3) if self.n_words else 0,
+            vote(self.marked_words / n, 0.03, 0.2) if self.n_words else 0,
+            vote(self.marked_lines / self.n_lines, 0.1, 0.5) if self.n_lines else 0,
+            vote(self.top_word / n, 0.08, 0.2) if self.n_words >= 20 else 0,
+            # texts have about 7 * sqrt(n) different words
+            vote(-self.different / min(n, 7 * n**0.5), -0.6, -0.3) if self.n_words >= 20 else 0,
         ]
 
 
@@ -84,19 +103,22 @@ def count(text: bytes) -> Counts:
     ws = text.split()
     h = word_hashes(ws)
     seen: set[bytes] = set()
-    dup = lines = 0
+    dup = lines = marked = 0
+    symbols = len(text) - len(text.translate(None, _SYMBOLS))
     for line in text.split(b"\n"):
         if not line or line.isspace() and not line.split():
             continue
         lines += 1
+        marked += symbols > 0 and holds_symbol(line)
         if line in seen:
             dup += 1
         else:
             seen.add(line)
+    times = np.unique(h, return_counts=True)[1]
     return Counts(
         n_words=len(ws),
         word_chars=word_chars(text),
-        n_symbols=len(text) - len(text.translate(None, _SYMBOLS)),
+        n_symbols=symbols,
         n_dup_lines=dup,
         n_repeat_words=repeated_words(h),
         n_lines=lines,
@@ -104,6 +126,10 @@ def count(text: bytes) -> Counts:
         lower=len(text) - len(text.translate(None, _LOWER)),
         stutter=int((h[1:] == h[:-1]).sum()),
         exclaimed=text.count(b"!! ") + text.count(b"!!\n") + text.endswith(b"!!"),
+        marked_words=sum(map(holds_symbol, ws)) if symbols else 0,
+        marked_lines=marked,
+        top_word=int(times.max(initial=0)),
+        different=len(times),
     )
 
 
@@ -158,17 +184,17 @@ class LabelModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fit(patterns: list[tuple[list[int], int]], rounds: int = 100) -> LabelModel:
+def fit(patterns: list[tuple[list[int], int]], rounds: int = 200) -> LabelModel:
     """EM over vote patterns with their numbers of documents.
 
-    Rules differ by class: junk of one kind fails one rule and passes the others, so a bad vote says much
-    and a good one little. Accuracies start at 0.998 on good and 0.3 on bad documents, with Beta priors of
-    twenty and ten documents at 0.995 and 0.3. The rules are written to fail good documents rarely, which
-    holds them within 0.997 and 0.9999 there (else the classes may settle on the most frequent kind of
-    junk alone), and within 0.02 and 0.99 on bad ones; the balance stays within 0.05 and 0.95.
+    Rules differ by class: junk of one kind fails some rules and passes the others, so a bad vote says
+    much and a good one little. All accuracies are estimated: they start at 0.95 on good and 0.3 on bad
+    documents, which tells the classes apart, and keep a prior of two documents there. No rule is trusted
+    beyond ``SUREST`` on good documents, as one that no good document of a corpus fails would otherwise
+    outweigh all others by itself; below that it is free down to chance, and on bad ones between 0.02 and 0.98.
     """
-    m = len(RULES)
-    good, bad, pi = np.full(m, 0.998), np.full(m, 0.3), 0.8
+    m, keep = len(RULES), 2.0
+    good, bad, pi = np.full(m, 0.95), np.full(m, 0.3), 0.8
     if patterns:
         v = np.array([p for p, _ in patterns], float)
         n = np.array([c for _, c in patterns], float)
@@ -177,9 +203,9 @@ def fit(patterns: list[tuple[list[int], int]], rounds: int = 100) -> LabelModel:
             z = math.log(pi / (1 - pi)) + yes @ np.log(good / (1 - bad)) + no @ np.log((1 - good) / bad)
             q = 1 / (1 + np.exp(-z))
             g, b = n * q, n * (1 - q)
-            new = np.clip((g @ yes + 19.9) / (g @ (yes | no) + 20), 0.997, 0.9999)
-            bad = np.clip((b @ no + 3) / (b @ (yes | no) + 10), 0.02, 0.99)
-            pi = float(np.clip(g.sum() / n.sum(), 0.05, 0.95))
+            new = np.clip((g @ yes + keep * 0.95) / (g @ (yes | no) + keep), 0.5, SUREST)
+            bad = np.clip((b @ no + keep * 0.3) / (b @ (yes | no) + keep), 0.02, 0.98)
+            pi = float(np.clip(g.sum() / n.sum(), 0.02, 0.98))
             done = np.abs(new - good).max() < 1e-9
             good = new
             if done:
