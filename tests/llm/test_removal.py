@@ -13,6 +13,18 @@ from .conftest import inputs, rows_of
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
+def rough(spark):
+    """One id with two texts, null ids, repeated rows: only what stands under a smaller id goes."""
+    t, u, v = (" ".join(f"{c}{k}" for k in range(80)) for c in "tuv")
+    rows = [(3, t), (5, t), (5, u), (5, u), (None, t), (None, u), (7, v), (7, v + " " + t), (7, u), (9, v), (9, v), (9, None), (8, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.fixture(scope="module", name="rough")
+def _rough(spark):
+    return rough(spark)
+
+
 def by_words(rows, width=50):
     first = {}
     for i, t in rows:
@@ -67,13 +79,20 @@ def near(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("name", ["docs", "odd", "near", "empty"])
+@pytest.mark.parametrize("name", ["docs", "odd", "near", "rough", "empty"])
 def test_words(request, name):
     df = request.getfixturevalue(name)
     assert rows_of(substring_dedup.digest(df)) == by_words(inputs(df))
 
 
-@pytest.mark.parametrize("name", ["docs", "odd", "near", "empty"])
+@pytest.mark.parametrize("width", [5, 20, 120])
+def test_words_at_other_numbers_of_levels(docs, rough, width):
+    assert substring_dedup.levels(50) == [13, 25, 50] and len(substring_dedup.levels(width)) == {5: 1, 20: 2, 120: 4}[width]
+    for df in (docs, rough):
+        assert rows_of(substring_dedup.digest(df, width)) == by_words(inputs(df), width)
+
+
+@pytest.mark.parametrize("name", ["docs", "odd", "near", "rough", "empty"])
 def test_bytes(request, name):
     df = request.getfixturevalue(name)
     assert rows_of(suffix_dedup.digest(df)) == by_bytes(inputs(df))
@@ -92,6 +111,11 @@ def test_stage_cuts_what_the_digest_says(docs):
         assert hashlib.sha256(kept.encode()).hexdigest() == sha and left[i]["n_chars"] == len(left[i]["text"])
 
 
+def test_stage_on_ids_with_several_texts(rough):
+    got = sorted(hashlib.sha256(" ".join(WORD.findall(r["text"] or "")).encode()).hexdigest() for r in substring_dedup.remove_repeats(rough).collect())
+    assert got == sorted(sha for _, _, _, sha in by_words(inputs(rough)))
+
+
 def test_stage_keeps_columns(odd):
     out = substring_dedup.remove_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
