@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from veilsight.llm import substring_dedup, suffix_dedup
@@ -104,6 +105,31 @@ def test_bytes_with_many_levels_and_hot_anchors(near, monkeypatch):
     assert rows_of(suffix_dedup.digest(near)) == by_bytes(inputs(near))
 
 
+def test_levels_are_suffix_arrays():
+    """Order of each level, what scans find and what merges hold, against plain sets."""
+    rng = random.Random(4)
+    task, seen = suffix_dedup.Task(20), set()
+    for k in range(40):
+        segs = ["".join(rng.choices("ab", k=rng.randint(20, 60))).encode() for _ in range(30)] + [b"abc" * 20]
+        some = [np.arange(31) + 100 * k] * 2 + [np.zeros(31, np.int64), np.zeros(31, bool)]
+        task.batch(*some, segs)
+        seen |= {s[j : j + 20] for s in segs for j in range(len(s) - 19)}
+        held = [[bytes(lv.text[p : p + 20]) for p in lv.order] for lv in task.family.levels]
+        assert all(x == sorted(set(x)) for x in held) and sorted(s for x in held for s in x) == sorted(seen)
+        sizes = [len(x) for x in held]
+        assert all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
+    assert task.family.merges > 20 and task.family.scans > 39
+
+
+def test_whole_table_meets_and_merges_levels(spark):
+    """Production parameters over all segments of a stored table: levels are scanned and merged."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    segments = suffix_dedup.segments(docs)[1].select(*suffix_dedup._SEGMENTS.names).toArrow()
+    task = suffix_dedup.Task(suffix_dedup.WIDTH)
+    spans = sum(b.num_rows for b in suffix_dedup.index_scan(segments.to_batches(), suffix_dedup.WIDTH, task))
+    assert spans > 0 and task.family.scans >= 2 and task.family.merges >= 1
+
+
 def test_stage_cuts_what_the_digest_says(docs):
     left = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()}
     for i, _, _, sha in by_words(inputs(docs)):

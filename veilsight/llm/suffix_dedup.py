@@ -3,12 +3,13 @@
 A byte goes if a ``width``-byte string that covers it also starts anywhere else, in the same document or
 another one. Only places that can have a partner are indexed: every string has an anchor, the 32-byte
 string inside with the least hash; equal strings have equal anchors, so strings whose anchor occurs once
-in the corpus are passed by. The rest is dealt out by anchor as segments, and each task keeps an index
-family: an arriving batch gets its sorted array of suffixes (cut at ``width``), which finds repeats inside
-the batch, is merge-scanned against the levels there are, and becomes a level; levels of like size merge,
-so a batch meets a logarithmic number of them. Segments come in order of their anchor, which no string
-crosses, so the levels of a finished anchor are let go, and equal strings are held once however often
-they occur. An anchor beyond ``HOT`` places is dealt out by the string's distance from it as well.
+in the corpus are passed by. The rest is dealt out by anchor as segments, and each task keeps one index
+family over all that it is given: an arriving batch gets its suffix array (suffixes cut at ``width``), which
+finds repeats inside the batch, is merge-scanned against the levels there are, and becomes a level; levels
+of like size merge, so a batch meets a logarithmic number of them. A level is a text and the places of its
+different strings in suffix order, with no more than the heads of strings copied, so equal strings are held once however often
+they occur; the number of tasks grows with the segments, so an index is bounded. An anchor beyond ``HOT``
+places is dealt out by the string's distance from it as well.
 Segments that are equal within a slice of a map task are settled there, and one of them is sent on for
 the others, so a line or passage that a third of the documents hold, or one text holds thousands of
 times, is not sent thousands of times.
@@ -24,9 +25,11 @@ columns are never read.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,10 @@ WIDTH, GRAM = 200, 32
 HOT, CLASS = 4096, 8
 #: Windows in one batch of an index family, and longest segment in windows.
 BATCH_WINDOWS, SEGMENT = 1 << 17, 512
+#: Bytes of each string that a level holds beside its text.
+HEAD = 16
+#: Segment bytes that one task indexes; an anchor's strings take twice the width at most.
+INDEX_BYTES = 32 << 20
 _PLACE_BITS = 22
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 _CHUNK = (1 << _PLACE_BITS) - 4096
@@ -128,17 +135,62 @@ def _segments(found: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "key long, t1 long, t2 long, start long, size long, met boolean, seg binary")
 
 
+def windows_of(text: np.ndarray, width: int) -> np.ndarray:
+    """All strings of a text as a view, nothing copied."""
+    return np.ndarray((len(text) - width + 1,), f"S{width}", text, strides=(1,))
+
+
+@dataclass
 class Level:
-    """Sorted strings, the row and place of the one occurrence each stands for, and whether it has been met."""
+    """A suffix array: ``order`` lists the places of different strings of ``text`` in order, ``met`` those seen twice.
 
-    def __init__(self, keys: np.ndarray, t1: np.ndarray, t2: np.ndarray, at: np.ndarray, met: np.ndarray):
-        self.keys, self.t1, self.t2, self.at, self.met = keys, t1, t2, at, met
+    The text is segments end to end, which begin at ``base`` and stand at ``start`` in the texts ``t1, t2``.
+    """
 
-    def merged(self, other: Level) -> Level:
-        keys = np.concatenate([self.keys, other.keys])
-        order = np.argsort(keys, kind="stable")  # two sorted runs: one linear merge
-        pick = lambda f: np.concatenate([getattr(self, f), getattr(other, f)])[order]
-        return Level(keys[order], pick("t1"), pick("t2"), pick("at"), pick("met"))
+    width: int
+    text: np.ndarray
+    base: np.ndarray
+    t1: np.ndarray
+    t2: np.ndarray
+    start: np.ndarray
+    order: np.ndarray
+    met: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.head = windows_of(self.text, min(HEAD, self.width))[self.order]
+
+    def strings(self, a: int, b: int) -> np.ndarray:
+        return windows_of(self.text, self.width)[self.order[a:b]]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each of the sorted strings belongs in the order: first by the heads of strings, then among equal heads."""
+        heads = keys.astype(self.head.dtype)
+        lo, hi = np.searchsorted(self.head, heads, "left"), np.searchsorted(self.head, heads, "right")
+        view, open_ = windows_of(self.text, self.width), np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) // 2
+            less = view[self.order[mid]] < keys[open_]
+            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo
+
+    def occurrences(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text and place of these entries of the order."""
+        place = self.order[at]
+        seg = np.searchsorted(self.base, place, "right") - 1
+        return self.t1[seg], self.t2[seg], self.start[seg] + place - self.base[seg]
+
+    def merged(self, other: Level, step: int = 1 << 16) -> Level:
+        """Both, which share no string: the lesser order is merged into the greater one."""
+        if len(other.order) > len(self.order):
+            return other.merged(self, step)
+        at = np.concatenate([self.find(other.strings(a, a + step)) for a in range(0, len(other.order), step)])
+        both = lambda f: np.concatenate([getattr(self, f), getattr(other, f)])
+        shift = len(self.text)
+        return Level(
+            self.width, both("text"), np.concatenate([self.base, other.base + shift]), both("t1"), both("t2"), both("start"),
+            np.insert(self.order, at, other.order + shift), np.insert(self.met, at, other.met),
+        )
 
 
 class Family:
@@ -146,42 +198,44 @@ class Family:
 
     def __init__(self) -> None:
         self.levels: list[Level] = []
+        self.scans = self.merges = 0
 
     def scan(self, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         """Which of the sorted keys some level holds, and the held occurrences met for the first time."""
         found = np.zeros(len(keys), bool)
         first = []
         for lv in self.levels:
-            at = np.minimum(np.searchsorted(lv.keys, keys), len(lv.keys) - 1)
-            same = lv.keys[at] == keys
-            found |= same
+            self.scans += 1
+            open_ = np.flatnonzero(~found)
+            if not len(open_):
+                break
+            at = np.minimum(lv.find(keys[open_]), len(lv.order) - 1)
+            same = windows_of(lv.text, lv.width)[lv.order[at]] == keys[open_]
+            found[open_[same]] = True
             at = at[same]
             at = at[~lv.met[at]]
             lv.met[at] = True
             if len(at):
-                first.append((lv.t1[at], lv.t2[at], lv.at[at]))
+                first.append(lv.occurrences(at))
         return found, first
 
     def add(self, level: Level) -> None:
-        if not len(level.keys):
+        if not len(level.order):
             return
         self.levels.append(level)
-        while len(self.levels) > 1 and len(self.levels[-1].keys) * 2 > len(self.levels[-2].keys):
+        while len(self.levels) > 1 and len(self.levels[-1].order) * 2 > len(self.levels[-2].order):
             last = self.levels.pop()
             self.levels[-1] = self.levels[-1].merged(last)
-
-
-def _strings(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    return np.ndarray((len(text) - width + 1,), f"S{width}", text, strides=(1,))[at]
+            self.merges += 1
 
 
 class Task:
-    """One task's index family over segments in order of their keys."""
+    """One task's index family, over batches of segments as they come."""
 
     def __init__(self, width: int):
-        self.width, self.family, self.key = width, Family(), None
+        self.width, self.family = width, Family()
 
-    def batch(self, key: np.ndarray, t1: np.ndarray, t2: np.ndarray, start: np.ndarray, known: np.ndarray, segs: list[bytes]):
+    def batch(self, t1: np.ndarray, t2: np.ndarray, start: np.ndarray, known: np.ndarray, segs: list[bytes]):
         """Spans ``t1, t2, lo, hi`` that the batch settles; ``known`` rows stand for settled ones and are told as well."""
         w = self.width
         size = np.fromiter(map(len, segs), np.int64, len(segs)) - w + 1
@@ -199,8 +253,8 @@ class Task:
         base = np.concatenate([[0], np.cumsum(n + w - 1)[:-1]])
         own = np.repeat(np.arange(len(row)), n)
         step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        keys = _strings(text, base[own] + step, w)
-        order = np.argsort(keys, kind="stable")
+        keys = windows_of(text, w)[base[own] + step]
+        order = np.argsort(keys, kind="stable")  # the batch's suffix array
         ordered = keys[order]
         twin = ordered[1:] == ordered[:-1]
         met = np.zeros(len(keys), bool)
@@ -209,26 +263,23 @@ class Task:
         met |= times[own] > 1
         single = np.ones(len(keys), bool)
         single[1:] = ~twin
-        head = order[single]  # one occurrence of each string, in order
-        any_met = np.logical_or.reduceat(met[order], np.flatnonzero(single))
-
-        group_key = key[row[own]]
-        found = np.zeros(len(head), bool)
-        if self.key is not None and key[0] == self.key:
-            mine = np.flatnonzero(group_key[head] == self.key)
-            got, first = self.family.scan(keys[head[mine]])
-            found[mine] = got
-            out += [(a, b, at, at + w) for a, b, at in first]
-            spread = np.zeros(len(keys), bool)
-            spread[order] = np.repeat(found, np.diff(np.concatenate([np.flatnonzero(single), [len(order)]])))
-            met |= spread
-        if self.key is None or key[-1] != self.key:
-            self.family, self.key = Family(), key[-1]
-        fresh = np.flatnonzero((group_key[head] == self.key) & ~found)
+        heads = np.flatnonzero(single)
+        head = order[heads]  # one occurrence of each string, in order
+        any_met = np.logical_or.reduceat(met[order], heads)
+
+        found, first = self.family.scan(ordered[heads])
+        out += [(a, b, at, at + w) for a, b, at in first]
+        spread = np.zeros(len(keys), bool)
+        spread[order] = np.repeat(found, np.diff(np.append(heads, len(order))))
+        met |= spread
+        fresh = np.flatnonzero(~found)
         if len(fresh):
             at = head[fresh]
-            r = row[own[at]]
-            self.family.add(Level(keys[at], t1[r], t2[r], start[r] + step[at], any_met[fresh]))
+            kept, seg = np.unique(own[at], return_inverse=True)  # segments without a new string are not held
+            held = np.repeat(np.isin(np.arange(len(row)), kept), n + w - 1)
+            new = np.concatenate([[0], np.cumsum(n[kept] + w - 1)[:-1]])
+            r = row[kept]
+            self.family.add(Level(w, text[held], new, t1[r], t2[r], start[r], new[seg] + step[at], any_met[fresh]))
 
         alone = np.flatnonzero(met & (times[own] == 1))
         if len(alone):
@@ -239,35 +290,52 @@ class Task:
         return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _batches(source, width: int):
+    """Segments in batches of about ``BATCH_WINDOWS`` windows, and rows without one as they are."""
+    held, n = [], 0
+    for batch in source:
+        done = pc.is_null(batch.column("seg"))
+        told = batch.filter(done)
+        if told.num_rows:
+            yield told, True
+        batch = batch.filter(pc.invert(done))
+        if not batch.num_rows:
+            continue
+        windows = np.cumsum(batch.column("size").to_numpy() - width + 1)
+        at = 0
+        while at < batch.num_rows:
+            before = windows[at - 1] if at else 0
+            to = min(int(np.searchsorted(windows, before + BATCH_WINDOWS - n)) + 1, batch.num_rows)
+            held.append(batch.slice(at, to - at))
+            n += int(windows[to - 1] - before)
+            at = to
+            if n >= BATCH_WINDOWS:
+                yield pa.concat_batches(held), False
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held), False
+
+
+def index_scan(source, width: int, task: Task | None = None):
+    """Spans of Arrow batches of segments, all through one index family."""
+    task = task or Task(width)
+    for batch, settled in _batches(source, width):
+        if settled:
+            lo = batch.column("start").to_numpy()
+            yield emit(_SPANS, t1=batch.column("t1"), t2=batch.column("t2"), lo=lo, hi=lo + batch.column("size").to_numpy())
+            continue
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t1", "t2", "start", "met")]
+        t1, t2, lo, hi = task.batch(*cols, batch.column("seg").to_pylist())
+        if len(lo):
+            yield emit(_SPANS, t1=t1, t2=t2, lo=lo, hi=hi)
+
+
 def _spans(segments: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        task = Task(width)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            done = pa.compute.is_null(batch.column("seg"))
-            told = batch.filter(done)
-            if told.num_rows:
-                lo = told.column("start").to_numpy()
-                yield emit(_SPANS, t1=told.column("t1"), t2=told.column("t2"), lo=lo, hi=lo + told.column("size").to_numpy())
-            batch = batch.filter(pa.compute.invert(done))
-            if not batch.num_rows:
-                continue
-            size = batch.column("size").to_numpy() - width + 1
-            part = np.cumsum(size) // BATCH_WINDOWS
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                s = batch.slice(a, b - a)
-                cols = [s.column(c).to_numpy(zero_copy_only=False) for c in ("key", "t1", "t2", "start", "met")]
-                t1, t2, lo, hi = task.batch(*cols, s.column("seg").to_pylist())
-                if len(lo):
-                    yield emit(_SPANS, t1=t1, t2=t2, lo=lo, hi=hi)
-
-    return segments.mapInArrow(run, "t1 long, t2 long, lo long, hi long")
+    return segments.mapInArrow(lambda source: index_scan(source, width), "t1 long, t2 long, lo long, hi long")
 
 
-def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``t1, t2, whole, spans`` of the texts (by their two hashes) that lose bytes."""
+def segments(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Texts (by their two hashes) that go whole, and the segments that may hold repeated strings, dealt out by key."""
     first = _first(docs, width).groupBy("t1", "t2").agg(
         F.count("*").alias("times"), F.min("doc_id").alias("rep"), F.any_value("n_bytes").alias("n_bytes"), F.any_value("anchors").alias("anchors")
     )
@@ -281,9 +349,15 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     d = _keyed(docs)
     same = (d["t1"] == live["t1"]) & (d["t2"] == live["t2"]) & d["doc_id"].eqNullSafe(live["rep"])
     found = d.join(live, same).select(d["text"], d["t1"], d["t2"], "live", "hot")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    segments = _segments(found, width).repartition(parts, "key").sortWithinPartitions("key")
-    spans = _spans(segments, width).groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    anchors = live.agg(F.sum(F.size("live"))).first()[0] or 0
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), anchors * 2 * width // INDEX_BYTES)
+    return whole, _segments(found, width).repartition(parts, "key")
+
+
+def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``t1, t2, whole, spans`` of the texts (by their two hashes) that lose bytes."""
+    whole, dealt = segments(docs, width)
+    spans = _spans(dealt, width).groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     out = spans.join(whole.withColumn("whole", F.lit(True)), ["t1", "t2"], "full")
     return materialise(out.select("t1", "t2", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"), "spans")
 
