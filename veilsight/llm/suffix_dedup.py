@@ -174,11 +174,15 @@ class Level:
             open_ = open_[lo[open_] < hi[open_]]
         return lo
 
-    def occurrences(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text and place of these entries of the order."""
-        place = self.order[at]
+    def spans(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Spans ``t1, t2, lo, hi`` of these entries of the order, those of neighbouring places in one."""
+        place = np.sort(self.order[at])
         seg = np.searchsorted(self.base, place, "right") - 1
-        return self.t1[seg], self.t2[seg], self.start[seg] + place - self.base[seg]
+        cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(seg) != 0)) + 1
+        lo, hi = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(place) - 1]])
+        seg = seg[lo]
+        start = self.start[seg] - self.base[seg]
+        return self.t1[seg], self.t2[seg], start + place[lo], start + place[hi] + self.width
 
     def merged(self, other: Level, step: int = 1 << 16) -> Level:
         """Both, which share no string: the lesser order is merged into the greater one."""
@@ -200,8 +204,8 @@ class Family:
         self.levels: list[Level] = []
         self.scans = self.merges = 0
 
-    def scan(self, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """Which of the sorted keys some level holds, and the held occurrences met for the first time."""
+    def scan(self, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Which of the sorted keys some level holds, and the spans of held occurrences met for the first time."""
         found = np.zeros(len(keys), bool)
         first = []
         for lv in self.levels:
@@ -209,14 +213,15 @@ class Family:
             open_ = np.flatnonzero(~found)
             if not len(open_):
                 break
-            at = np.minimum(lv.find(keys[open_]), len(lv.order) - 1)
-            same = windows_of(lv.text, lv.width)[lv.order[at]] == keys[open_]
+            sought = keys if len(open_) == len(keys) else keys[open_]
+            at = np.minimum(lv.find(sought), len(lv.order) - 1)
+            same = windows_of(lv.text, lv.width)[lv.order[at]] == sought
             found[open_[same]] = True
             at = at[same]
             at = at[~lv.met[at]]
             lv.met[at] = True
             if len(at):
-                first.append(lv.occurrences(at))
+                first.append(lv.spans(at))
         return found, first
 
     def add(self, level: Level) -> None:
@@ -267,8 +272,8 @@ class Task:
         head = order[heads]  # one occurrence of each string, in order
         any_met = np.logical_or.reduceat(met[order], heads)
 
-        found, first = self.family.scan(ordered[heads])
-        out += [(a, b, at, at + w) for a, b, at in first]
+        found, first = self.family.scan(ordered if len(heads) == len(ordered) else ordered[heads])
+        out += first
         spread = np.zeros(len(keys), bool)
         spread[order] = np.repeat(found, np.diff(np.append(heads, len(order))))
         met |= spread
