@@ -3,11 +3,13 @@
 A document's ids and a closing separator make its pieces; only documents above the capacity are cut, the
 first piece taking the shorter rest, so full pieces fill sequences of their own. The other pieces are
 dealt by a hash into *regions* of about ``REGION`` pieces, whose number grows with the corpus, so no task
-ever holds more than a bounded set. In each region several islands evolve packings: crossover injects
-whole well-filled bins of one parent into another, drops the bins that hold the same pieces, and
-best-fits the displaced ones in order of size; after each epoch the best packing of an island replaces
-the worst of the next one. A region stops early when it meets the lower bound. The bins of all regions
-with much room are then opened and packed together once more, in larger and fewer regions.
+ever holds more than a bounded set. A region that best-fit packs into as few bins as its sizes allow is
+done; no search can do better, and ``region_bins`` and ``region_bound`` of each row tell so. For every
+other region, ``ISLANDS`` islands search: each is a row of a table and a task's work of its own, and evolves
+a population of packings. Crossover injects whole well-filled bins of one parent into another, drops the
+bins that hold the same pieces, and best-fits the displaced ones in order of size. After each epoch the
+populations are written, and each island's best packing migrates to the next island's in a join. The bins
+of all regions with much room are then opened and packed together once more, in as many regions as those need.
 
 Ids come from the named vocabulary file of the ``tokenizers`` library. Texts without special-token
 strings are encoded by ``tiktoken`` over that file's own vocabulary, which gives the same ids in a
@@ -34,7 +36,11 @@ from ._common import emit, materialise, sliced, texts
 CAPACITY = 2048
 SEPARATOR = 0
 REGION = 4096
-ISLANDS, MEMBERS, EPOCHS, CHILDREN = 2, 3, 3, 4
+#: Islands of a region, packings of an island, epochs, and children of an island in each epoch.
+ISLANDS, MEMBERS, EPOCHS, CHILDREN = 4, 4, 4, 8
+
+#: Bins with a lesser share filled are opened and packed together once more.
+LOOSE = 0.95
 
 #: The split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -170,80 +176,165 @@ def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.R
     return bins, load
 
 
-def evolve(sizes: list[int], capacity: int = CAPACITY, seed: int = 0) -> Packing:
-    """The best packing that the islands find."""
-    n = len(sizes)
+Member = tuple[tuple[int, float], Packing]
+
+
+def first_members(sizes: list[int], capacity: int, rng: random.Random, members: int = MEMBERS) -> list[Member]:
+    """Best-fit packings in orders of size with more and more noise, the best first."""
+    out = []
+    for m in range(members):
+        noise = 0.02 * (1 + m)
+        order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + noise * (rng.random() - 0.5)))
+        bins: Packing = []
+        loads: list[int] = []
+        best_fit(sizes, order, bins, loads, capacity)
+        out.append((_fitness(loads, capacity), bins))
+    return sorted(out, key=lambda x: x[0], reverse=True)
+
+
+def epoch(island: list[Member], sizes: list[int], capacity: int, rng: random.Random, children: int = CHILDREN) -> list[Member]:
+    """The island after so many crossovers, each child taking the place of the worst if it is better."""
     bound = -(-sum(sizes) // capacity)
-    rng = random.Random(seed)
-    islands: list[list[tuple[tuple[int, float], Packing]]] = []
-    for k in range(ISLANDS):
-        island = []
-        for m in range(MEMBERS):
-            noise = 0.0 if k == m == 0 else 0.02 * (1 + m)
-            order = sorted(range(n), key=lambda i: -sizes[i] * (1 + noise * (rng.random() - 0.5)))
-            bins: Packing = []
-            loads: list[int] = []
-            best_fit(sizes, order, bins, loads, capacity)
-            if len(bins) <= bound:
-                return bins
-            island.append((_fitness(loads, capacity), bins))
-        islands.append(sorted(island, key=lambda x: x[0], reverse=True))
-    for _ in range(EPOCHS):
-        for island in islands:
-            for _ in range(CHILDREN):
-                a, b = rng.sample(island, 2)
-                bins, loads = cross(a[1], b[1], sizes, capacity, rng)
-                if len(bins) <= bound:
-                    return bins
-                child = (_fitness(loads, capacity), bins)
-                if child[0] > island[-1][0]:
-                    island[-1] = child
-                    island.sort(key=lambda x: x[0], reverse=True)
-        elites = [island[0] for island in islands]
-        for k, island in enumerate(islands):
-            island[-1] = elites[k - 1]
+    island = sorted(island, key=lambda x: x[0], reverse=True)
+    for _ in range(children):
+        if -island[0][0][0] <= bound:
+            break
+        a, b = rng.sample(island, 2)
+        bins, loads = cross(a[1], b[1], sizes, capacity, rng)
+        child = (_fitness(loads, capacity), bins)
+        if child[0] > island[-1][0]:
+            island[-1] = child
             island.sort(key=lambda x: x[0], reverse=True)
-    return max((i[0] for i in islands), key=lambda x: x[0])[1]
+    return island
+
+
+def _assigned(bins: Packing, n: int) -> list[int]:
+    out = [0] * n
+    for b, items in enumerate(bins):
+        for i in items:
+            out[i] = b
+    return out
+
+
+def _bins(assigned: list[int]) -> Packing:
+    out: Packing = [[] for _ in range(max(assigned, default=-1) + 1)]
+    for i, b in enumerate(assigned):
+        out[b].append(i)
+    return out
 
 
-_COLUMNS = "doc_id long, piece long, start long, length long, ids_crc32 long, uid long, sequence_id long, offset long, fill int"
+_INTS = pa.list_(pa.int32())
+_REGION = pa.schema([("region", pa.int64()), ("uids", pa.list_(pa.int64())), ("sizes", _INTS), ("bound", pa.int64()), ("bins", pa.int64()), ("packing", _INTS)])
+_ISLAND = pa.schema([("region", pa.int64()), ("island", pa.int32()), ("sizes", _INTS), ("bins", pa.int64()), ("members", pa.list_(_INTS))])
+_PLACED = pa.schema([("uid", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("fill", pa.int32()), ("region_bins", pa.int64()), ("region_bound", pa.int64())])
 
 
-def _pack_region(capacity: int, tag: int):
-    def run(key, pdf):
-        pdf = pdf.sort_values("uid", ignore_index=True)
-        sizes = pdf["length"].tolist()
-        region = int(key[0])
-        bins = evolve(sizes, capacity, region)
-        where, offset, fill = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int32)
-        for b, items in enumerate(bins):
-            at = 0
-            for i in items:
-                where[i], offset[i] = b, at
-                at += sizes[i]
-            fill[items] = at
-        pdf["sequence_id"] = ((region << 20) + where) * 4 + tag
-        pdf["offset"], pdf["fill"] = offset, fill
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "uid", "sequence_id", "offset", "fill"]]
+def _plain(regions: DataFrame, capacity: int) -> DataFrame:
+    """Best-fit of each region in order of size, and the fewest bins that its sizes allow."""
+
+    def run(batches):
+        for batch in batches:
+            for region, uids, sizes in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                bins: Packing = []
+                best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), bins, [], capacity)
+                bound = -(-sum(sizes) // capacity)
+                yield emit(_REGION, region=[region], uids=[uids], sizes=[sizes], bound=[bound], bins=[len(bins)], packing=[_assigned(bins, len(sizes))])
+
+    return regions.mapInArrow(run, "region long, uids array<long>, sizes array<int>, bound long, bins long, packing array<int>")
 
-    return run
+
+def _island_epoch(islands: DataFrame, capacity: int, number: int) -> DataFrame:
+    """Each island's next population, from ``region, island, sizes, bins, members, elite, met``; before the first epoch there are no members.
+
+    Where some island of the region has met the bound, nothing is left to search for.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for region, island, sizes, bins, members, elite, met in zip(*[batch.column(k).to_pylist() for k in range(7)]):
+                if not met:
+                    rng = random.Random((region * ISLANDS + island) * EPOCHS + number)
+                    if members is None:
+                        now = first_members(sizes, capacity, rng)
+                    else:  # the elite of the island before takes the place of the worst
+                        packings = [_bins(x) for x in [*members[:-1], elite]]
+                        now = [(_fitness(_loads(sizes, x), capacity), x) for x in packings]
+                    now = epoch(now, sizes, capacity, rng)
+                    bins, members = len(now[0][1]), [_assigned(x, len(sizes)) for _, x in now]
+                yield emit(_ISLAND, region=[region], island=[island], sizes=[sizes], bins=[bins], members=[members])
+
+    return islands.mapInArrow(run, "region long, island int, sizes array<int>, bins long, members array<array<int>>")
+
+
+def evolved(regions: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``region, bins, packing``: the best that the islands of each region (``region, sizes, bound``) find."""
+    tasks = max(1, int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = regions.select("region", "bound")
+    state = regions.select("region", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes")
+    state = state.selectExpr("region", "island", "sizes", "0L AS bins", "CAST(NULL AS array<array<int>>) AS members", "CAST(NULL AS array<int>) AS elite", "false AS met")
+    for k in range(EPOCHS):
+        state = materialise(_island_epoch(state.repartition(tasks, "region", "island"), capacity, k), "islands")
+        if k < EPOCHS - 1:
+            elites = state.select("region", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("members")[0].alias("elite"))
+            met = state.groupBy("region").agg(F.min("bins").alias("least")).join(bounds, "region").select("region", (F.col("least") <= F.col("bound")).alias("met"))
+            state = state.join(elites, ["region", "island"]).join(met, "region").select("region", "island", "sizes", "bins", "members", "elite", "met")
+    best = F.min_by(F.struct("bins", F.col("members")[0].alias("packing")), F.struct("bins", "island")).alias("x")
+    return state.groupBy("region").agg(best).select("region", "x.bins", "x.packing")
+
+
+def _placed(regions: DataFrame, capacity: int, tag: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for region, uids, sizes, bound, bins, packing in zip(*[batch.column(k).to_pylist() for k in range(6)]):
+                load, offset = [0] * bins, []
+                for size, b in zip(sizes, packing):
+                    offset.append(load[b])
+                    load[b] += size
+                yield emit(
+                    _PLACED, uid=uids, sequence_id=[((region << 20) + b) * 4 + tag for b in packing], offset=offset, fill=[load[b] for b in packing],
+                    region_bins=[bins] * len(uids), region_bound=[bound] * len(uids),
+                )
+
+    return regions.mapInArrow(run, "uid long, sequence_id long, offset long, fill int, region_bins long, region_bound long")
+
+
+def pack_regions(sized: DataFrame, capacity: int = CAPACITY, size: int = REGION, tag: int = 1) -> DataFrame:
+    """``uid, sequence_id, offset, fill, region_bins, region_bound`` of pieces ``uid, length`` shorter than the capacity."""
+    n = max(1, -(-sized.count() // size))
+    dealt = sized.select(F.pmod(F.xxhash64("uid", F.lit(tag)), F.lit(n)).alias("region"), F.struct("uid", F.col("length").cast("int").alias("length")).alias("x"))
+    regions = dealt.groupBy("region").agg(F.sort_array(F.collect_list("x")).alias("x"))  # a hash deals out about ``size`` pieces each
+    first = materialise(_plain(regions.select("region", "x.uid", "x.length"), capacity), "regions")
+    open_ = first.where("bins > bound").select("region", "sizes", "bound")
+    if open_.isEmpty():
+        return _placed(first.select("region", "uids", "sizes", "bound", "bins", "packing"), capacity, tag)
+    better = evolved(open_, capacity).select("region", F.col("bins").alias("b"), F.col("packing").alias("p"))
+    both = first.join(better, "region", "left")
+    win = F.col("b") < F.col("bins")
+    return _placed(
+        both.select(
+            "region", "uids", "sizes", "bound", F.when(win, F.col("b")).otherwise(F.col("bins")).alias("bins"), F.when(win, F.col("p")).otherwise(F.col("packing")).alias("packing")
+        ),
+        capacity, tag,
+    )
+
+
+OUT = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "region_bins", "region_bound"]
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, region: int = REGION) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece, and its region's bins and bound (null for full pieces).
+
+    The vocabulary file is read on the driver and by every executor, under the same path.
+    """
     rows = pieces(docs, vocabulary or default_vocabulary(), capacity).withColumn("uid", F.monotonically_increasing_id())
     rows = materialise(rows, "pieces")
-    out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    none = F.lit(None).cast("long")
     full = rows.where(F.col("length") == capacity).withColumn("sequence_id", F.col("uid") * 4).withColumn("offset", F.lit(0).cast("long"))
-    some = rows.where(F.col("length") < capacity)
-
-    def regions(df: DataFrame, size: int, tag: int) -> DataFrame:
-        n = max(1, -(-df.count() // size))
-        dealt = df.withColumn("region", F.pmod(F.xxhash64("uid", F.lit(tag)), F.lit(n)))
-        return dealt.groupBy("region").applyInPandas(_pack_region(capacity, tag), _COLUMNS)
-
-    first = materialise(regions(some, region, 1), "packed")
-    loose = first.where(F.col("fill") < 0.95 * capacity).select(*rows.columns)
-    second = regions(loose, region, 2)
-    tight = first.where(F.col("fill") >= 0.95 * capacity)
-    return full.select(out).unionByName(tight.select(out)).unionByName(second.select(out))
+    full = full.withColumn("region_bins", none).withColumn("region_bound", none)
+    sized = rows.where(F.col("length") < capacity).select("uid", "length")
+
+    first = materialise(pack_regions(sized, capacity, region, 1), "packed")
+    loose = materialise(first.where(F.col("fill") < LOOSE * capacity).select("uid").join(sized, "uid"), "loose")
+    second = pack_regions(loose, capacity, region, 2)
+    where = first.where(F.col("fill") >= LOOSE * capacity).unionByName(second)
+    return full.select(OUT).unionByName(rows.join(where, "uid").select(OUT))
