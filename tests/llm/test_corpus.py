@@ -52,6 +52,38 @@ def test_mix(request, name):
     assert rows_of(mixing.mix(df)) == rows_of(mixing.mix(df.repartition(2)))
 
 
+@pytest.mark.parametrize("edge_rows", [1, 3, 40])
+def test_edges_are_looked_into(docs, edge_rows):
+    """Cells of any size give the same mix."""
+    assert rows_of(mixing.mix(docs, edge_rows=edge_rows)) == rows_of(mixing.mix(docs))
+
+
+def test_sample_of_rows_with_shared_ids(spark):
+    """Null ids, one id with several texts and sources, repeated rows: each row by itself."""
+    text = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(None, text("a", 2), "s"), (None, text("b", 100), "s"), (1, text("c", 40), "s"), (1, text("d", 7), "s"), (1, text("c", 40), "t")]
+    rows += [(2, text("e", 9), "t")] * 5 + [(None, None, None), (3, "", None), (4, text("f", 3), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = defaultdict(int)
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    got = defaultdict(int)
+    out = mixing.sample(df).collect()
+    for r in out:
+        got[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+    assert got == {k: n for k, n in want.items() if n}
+    heads = {t for _, t, _ in rows if t}
+    assert all(any(t.startswith(r["text"]) for t in heads) for r in out)
+    assert sum(r["text"] == text("b", 100) for r in out) <= 3
+
+
+def test_sample_on_odd_rows(odd, empty):
+    out = mixing.sample(odd)
+    assert out.columns == odd.columns and mixing.sample(empty).count() == 0
+    words = sum(len(WORD.findall(r["text"])) for r in out.collect())
+    assert words == sum(r["taken"] for r in mixing.mix(odd).collect())
+
+
 def test_heavier_documents_come_first_more_often(spark):
     rows = [(k, ("a " * 40 if k % 2 else " ".join(f"w{k}x{j}" for j in range(40))), "s" if k < 2000 else "t") for k in range(2400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

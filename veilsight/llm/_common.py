@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one Python step works on at a time; larger Arrow batches are cut.
 SLICE_BYTES = 4 << 20
@@ -187,5 +188,11 @@ def filter_rows(docs: DataFrame, keep: Callable[[bytes], bool]) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def text_hash(text: str = "text") -> Column:
+    """Tells texts with one ``doc_id`` apart; never 0."""
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return F.when(h == 0, 1).otherwise(h)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

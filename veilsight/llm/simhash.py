@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Windows, emit, materialise, mix, signed, sliced, texts, word_hashes
+from ._common import Windows, emit, materialise, mix, signed, sliced, text_hash, texts, word_hashes
 from ._components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -230,8 +230,8 @@ GROUP_ROWS = 32768
 GROUP_SHINGLES = 4 << 20
 
 _SEEDS = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, BITS // 64 + BANDS * ROWS, np.uint64)
-_WIDE = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("fp", pa.binary())])
-_WIDE_DDL = "doc_id long, node long, n int, bands array<long>, fp binary"
+_WIDE = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("fp", pa.binary())])
+_WIDE_DDL = "doc_id long, t long, node long, n int, bands array<long>, fp binary"
 
 
 def shingle_set(text: bytes, shingle: int = WORDS) -> np.ndarray:
@@ -372,8 +372,14 @@ def _true_edges(src: DataFrame, least: DataFrame, blocks: DataFrame, shingle: in
 
 
 def similar_documents(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """``doc_id, component_id`` per row of ``docs``: components of documents whose shingle sets are this similar.
+    """``doc_id, component_id`` per row of ``docs``: components of documents whose shingle sets are this similar (see ``similar_rows``)."""
+    return similar_rows(docs, shingle, similarity, group_rows, group_shingles).select("doc_id", F.col("chosen.doc_id").alias("component_id"))
 
+
+def similar_rows(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """``doc_id, t, chosen`` per row of ``docs``, ``t`` a hash of its text: components of documents whose shingle sets are this similar.
+
+    ``chosen`` is the ``doc_id`` and ``t`` of a component's first row, null ids last, so rows with one id are told apart.
     At a similarity of 0.8, fingerprints differ in about 15 % of their bits, so 64 bits are too few to
     tell (the standard error is 4.5 %) and no choice of equal bit blocks finds such pairs: fingerprints
     here have 1024 bits, the radius follows from the two set sizes, and tiles are the groups that agree
@@ -390,12 +396,13 @@ def similar_documents(docs: DataFrame, shingle: int = WORDS, similarity: float =
                 s = shingle_set(text, shingle)
                 k, b, f = wide_sketch(s)
                 node.append(k), n.append(len(s)), bands.append(b), fp.append(f)
-            yield emit(_WIDE, doc_id=batch.column(0), node=node, n=n, bands=bands, fp=fp)
+            yield emit(_WIDE, doc_id=batch.column(0), t=batch.column(2), node=node, n=n, bands=bands, fp=fp)
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("t"))
     rows = materialise(src.mapInArrow(run, _WIDE_DDL), "sketches")
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.any_value(c).alias(c) for c in ("n", "bands", "fp")])
-    least = materialise(least, "sets")
+    one = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")
+    least = rows.groupBy("node").agg(F.min(one).alias("one"), *[F.any_value(c).alias(c) for c in ("n", "bands", "fp")])
+    least = materialise(least.withColumn("least", F.col("one.doc_id")), "sets")
 
     keyed = least.select("node", "n", "fp", F.posexplode("bands").alias("k", "key"))
     groups = keyed.groupBy("k", "key").agg(F.count("*").alias("m")).where("m > 1")
@@ -416,15 +423,16 @@ def similar_documents(docs: DataFrame, shingle: int = WORDS, similarity: float =
     edges = _true_edges(src, least, blocks, shingle, similarity, group_shingles)
 
     roots = components(edges)
-    named = least.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.select("node", "root").join(names, "root").select("node", "component_id")
-    return rows.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
+    named = least.select("node", "one").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = named.groupBy("root").agg(F.min("one").alias("one"))
+    known = named.select("node", "root").join(names, "root").select("node", F.struct("one.doc_id", "one.t").alias("chosen"))
+    return rows.select("doc_id", "t", "node").join(known, "node").select("doc_id", "t", "chosen")
 
 
 def keep_one(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of similar ones, that with the smallest ``doc_id``, with all columns."""
-    chosen = similar_documents(docs, shingle, similarity).select(F.col("component_id").alias("__keep")).distinct()
-    chosen = materialise(chosen, "kept")
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__keep"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each group of similar documents, with all columns: that with the smallest ``doc_id``, of several texts under it
+    the one with the least hash, of repeated rows any. A null ``doc_id`` stays only where its group has no other."""
+    chosen = materialise(similar_rows(docs, shingle, similarity).select(F.col("chosen.doc_id").alias("__id"), F.col("chosen.t").alias("__t")).distinct(), "kept")
+    mine = docs.withColumn("__own", text_hash())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__t"))
+    return mine.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__own"]).drop("__own")

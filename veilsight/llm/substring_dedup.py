@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import Windows, discard, emit, materialise, signed, sliced, sliding_min, texts, word_hashes
+from ._common import Windows, discard, emit, materialise, signed, sliced, sliding_min, text_hash, texts, word_hashes
 
 WIDTH = 50
 
@@ -83,12 +83,6 @@ def nested(symbols: np.ndarray, width: int, below: list[int]) -> list:
     return _unfolded(tree, len(below))
 
 
-def text_hash(text="text"):
-    """Tells texts with one ``doc_id`` apart; never 0."""
-    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return F.when(h == 0, 1).otherwise(h)
-
-
 def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("t"))
 
