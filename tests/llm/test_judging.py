@@ -1,5 +1,6 @@
 """Rules, classifier, licences and URL filters against plain statements and held-out labels."""
 
+import random
 import re
 from collections import Counter
 
@@ -203,6 +204,42 @@ def test_templates(text, labels):
     assert license_scan.scan(text.encode())[5] == labels
 
 
+def filled(template, rng):
+    """A text that the template stands for: optional parts in or out, free words made up."""
+    def expand(parts):
+        out = []
+        while parts:
+            x = parts.pop(0)
+            if x == "[":
+                inside = expand(parts)
+                out += inside if rng.random() < 0.5 else []
+            elif x == "]":
+                return out
+            elif x[0] == "{":
+                out += [f"Free{k}" for k in range(rng.randint(0, int(x[1:-1])))]
+            else:
+                out += x.split()
+        return out
+
+    return expand(re.findall(r"[\[\]]|\{\d+\}|[^\[\]{}]+", template))
+
+
+def test_full_texts_match_and_changed_ones_do_not():
+    rng = random.Random(3)
+    for label, strength, template in license_scan.TEMPLATES:
+        for _ in range(5):
+            words = filled(template, rng)
+            text = "Some words before. " + " ".join(words).upper() + " and some after"
+            assert label in license_scan.scan(text.encode())[5].split(","), (label, text)
+        bare = re.sub(r"\{\d+\}", "", re.sub(r"\[[^\[\]]*\]", "", re.sub(r"\[[^\[\]]*\]", "", template))).split()
+        real = [k for k, w in enumerate(bare) if re.search("[a-z]", w.lower())]
+        for k in rng.sample(real, min(4, len(real))):
+            changed = " ".join([*bare[:k], "zzz", *bare[k + 1 :]])
+            mine = license_scan.compile_template(template)
+            low = license_scan.tokens(changed.encode())
+            assert not any(mine.accepts(low, j) for j in range(len(low))) or "{" in template
+
+
 def test_markup():
     a = license_scan.compile_template("a [b [c] d] {2} e")
     yes = ["a e", "a b d e", "a b c d e", "a x e", "a x y e", "a b d x y e"]

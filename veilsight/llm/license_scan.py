@@ -3,7 +3,8 @@
 A template is written in words with two kinds of markup: ``[ ... ]`` may be absent, and ``{n}`` stands
 for any words, ``n`` at most. Compilation gives a nondeterministic automaton over tokens; a text is
 accepted from a place on if every mandatory word follows exactly, in order, with nothing else between.
-A template is tried only in texts that hold its rarest mandatory word, at the places of its first word.
+A template is tried only in texts that hold all its mandatory words, and at places of words it may begin with.
+The wordings, whole licences, their notices and short forms, are in ``license_texts``.
 Phrases are counted at all places besides.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased: letters, digits and
@@ -15,6 +16,7 @@ scanned each by itself; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,35 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import emit, sliced, texts
+from .license_texts import TEMPLATES
 
 #: Phrase and label of the base scan.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label, strength and template. The wordings are those of public licences and their usual notices.
-TEMPLATES = (
-    ("mit", 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", 0.8, "released under [the terms of] the mit license"),
-    ("mit", 0.8, "licensed under [the terms of] the mit license"),
-    ("apache-2.0", 0.9, "licensed under the apache license version 2 0 [the license]"),
-    ("apache-2.0", 1.0, "you may not use this {3} except in compliance with the license"),
-    ("gpl", 0.8, "licensed under [the terms of] the gnu [lesser] [affero] general public license [version {2}]"),
-    ("gpl-2.0", 0.9, "gnu general public license version 2"),
-    ("gpl-3.0", 0.9, "gnu general public license version 3"),
-    ("gpl", 1.0, "this {4} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", 0.9, "gnu lesser general public license"),
-    ("agpl", 0.9, "gnu affero general public license"),
-    ("bsd", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", 1.0, "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc0", 0.9, "dedicated to the public domain [under {6} cc0 [1 0]]"),
-    ("cc-by", 0.8, "licensed under [a] [the] cc by [{1} 0]"),
-    ("cc-by-nc", 0.9, "licensed under [a] [the] cc by nc"),
-    ("cc-by-sa", 0.9, "licensed under [a] [the] cc by sa"),
-    ("cc-by-nd", 0.9, "licensed under [a] [the] cc by nd"),
-    ("cc", 0.8, "licensed under a creative commons {8} license"),
-    ("all-rights-reserved", 0.7, "all rights reserved"),
-    ("proprietary", 0.9, "may not be reproduced {12} without [the] [prior] written permission"),
-)
-
 BASE_STRENGTH = 0.6
 
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -61,6 +39,10 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+#: Brackets, numbers of free words, and what stands between.
+_MARKUP = re.compile(r"[\[\]]|\{\d+\}|[^\[\]{}]+")
+
+
 @dataclass(frozen=True)
 class Automaton:
     """States are numbered; ``step[s]`` lists (word or None for any, next state), ``free[s]`` the states reached for nothing."""
@@ -71,8 +53,10 @@ class Automaton:
     mandatory: tuple[bytes, ...]
 
     @property
-    def first(self) -> bytes:
-        return self.mandatory[0]
+    def starts(self) -> frozenset[bytes] | None:
+        """Words that a match may begin with; none if it may begin with any."""
+        words = {w for s in self.free[0] for w, _ in self.step[s]}
+        return None if None in words else frozenset(words)
 
     @property
     def rarest(self) -> bytes:
@@ -102,7 +86,7 @@ def compile_template(template: str) -> Automaton:
         step.append([])
         free.append(set())
 
-    for part in template.replace("[", " [ ").replace("]", " ] ").split():
+    for part in _MARKUP.findall(template):
         if part == "[":
             opened.append(len(step) - 1)
         elif part == "]":
@@ -114,9 +98,10 @@ def compile_template(template: str) -> Automaton:
             for s in range(start, len(step) - 1):
                 free[s].add(len(step) - 1)
         else:
-            new(part.encode())
-            if not opened:
-                mandatory.append(part.encode())
+            for word in tokens(part.encode()):
+                new(word)
+                if not opened:
+                    mandatory.append(word)
     if opened:
         raise ValueError(f"unclosed optional part: {template}")
     # an optional part may start where another one ends: close over free steps
@@ -131,7 +116,7 @@ def compile_template(template: str) -> Automaton:
     return Automaton(tuple(map(tuple, step)), tuple(closed), len(step) - 1, tuple(mandatory))
 
 
-_AUTOMATA = tuple((label, strength, compile_template(t)) for label, strength, t in TEMPLATES)
+_AUTOMATA = tuple((label, strength, a, a.starts) for label, strength, a in ((n, k, compile_template(t)) for n, k, t in TEMPLATES))
 _PHRASE_WORDS = tuple((p.encode().split(), label) for p, label in PHRASES)
 
 
@@ -145,6 +130,14 @@ def places(words: list[bytes], word: bytes) -> list[int]:
         return out
 
 
+def starting(words: list[bytes], starts: frozenset[bytes] | None) -> list[int]:
+    if starts is None:
+        return list(range(len(words)))
+    if len(starts) == 1:
+        return places(words, *starts)
+    return [k for k, w in enumerate(words) if w in starts]
+
+
 def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
     """Number of words and of base places, first and last of them, base labels, all labels, score."""
     low = text.translate(_TABLE)
@@ -159,9 +152,9 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
                     starts.append(k)
                     base.add(label)
     found = {label: BASE_STRENGTH for label in base}
-    for label, strength, a in _AUTOMATA:
+    for label, strength, a, starts_of in _AUTOMATA:
         if a.rarest in low and all(w in low for w in a.mandatory) and found.get(label, 0.0) < strength:
-            if any(a.accepts(words, k) for k in places(words, a.first)):
+            if any(a.accepts(words, k) for k in starting(words, starts_of)):
                 found[label] = strength
     miss = 1.0
     for strength in sorted(found.values()):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+from .license_scan import BASE_STRENGTH, PHRASES
+from .license_texts import TEMPLATES
+
 OP2 = r"""WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (
@@ -32,4 +37,43 @@ SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(bytes, 0)::BIGINT A
   sha256(unhex(CASE WHEN n IS NULL THEN x ELSE k END)) AS kept_sha256
 FROM d LEFT JOIN lost USING (rid) LEFT JOIN kept USING (rid)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op7_suffix_dedup": OP7}
+
+def template_regex(template: str) -> str:
+    """The template over words that each have a blank before them."""
+    out = []
+    for part in re.findall(r"[\[\]]|\{\d+\}|[^\[\]{}]+", template):
+        if part in "[]":
+            out.append("(?:" if part == "[" else ")?")
+        elif part[0] == "{":
+            out.append("(?: [^ ]+){0," + part[1:-1] + "}")
+        else:
+            out += [" " + w for w in re.findall(r"[0-9a-z]+", part.lower())]
+    return "".join(out) + "(?: |$)"
+
+
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_TEMPLATES = ",\n    ".join(f"({_quoted(label)}, {strength}, {_quoted(template_regex(t))})" for label, strength, t in TEMPLATES)
+_PHRASES = ", ".join(f"({_quoted(label)}, [{', '.join(_quoted(w) for w in p.split())}])" for p, label in PHRASES)
+
+OP4 = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+phrase(label, p) AS (VALUES {_PHRASES}),
+template(label, strength, re) AS (VALUES
+    {_TEMPLATES}),
+hit AS (
+  SELECT rid, k - 1 AS k, label FROM w, unnest(range(1, len(ws) + 1)) AS t(k), phrase WHERE ws[k] = p[1] AND ws[k:k + len(p) - 1] = p),
+base AS (SELECT rid, count(*) AS n, min(k) AS lo, max(k) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM hit GROUP BY rid),
+said AS (
+  SELECT rid, label, {BASE_STRENGTH} AS strength FROM hit
+  UNION ALL SELECT rid, label, strength FROM (SELECT rid, ' ' || array_to_string(ws, ' ') AS t FROM w) JOIN template ON regexp_matches(t, re)),
+best AS (SELECT rid, label, max(strength) AS s FROM said GROUP BY rid, label),
+judged AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS names, product(1 - s) AS miss FROM best GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+  coalesce(base.names, '') AS base_labels, coalesce(judged.names, '') AS labels, coalesce(round(1 - miss, 9), 0)::DOUBLE AS score
+FROM w LEFT JOIN base USING (rid) LEFT JOIN judged USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op4_license_scan": OP4, "op7_suffix_dedup": OP7}
