@@ -15,6 +15,7 @@ from .operators.crawl import EXIT_CODES
 from .operators.frontier import in_scope
 from .plans import scan
 from .sources import sinks
+from .sources.tables import release
 
 VERSION = "0.1.0"
 
@@ -49,6 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     sinks.write_results(rows, a.out, head, run={"status": "COMPLETED"}, review=sinks.open_review(a.out), extras=not a.no_extra)
     if not a.quiet:
         print("\n".join(sinks.summary_lines(findings.summary(result.findings))))
+    release()
     return EXIT_CODES["COMPLETED"]
 
 

@@ -54,11 +54,11 @@ def latin_udf(folder: str | None = None):
 def register_udfs(spark: SparkSession, folder: str | None = None) -> None:
     """Makes the kernels available to SQL under ``veil_`` names."""
     from ..operators.assess import assess_udf
-    from ..operators.verdicts import TEXT_DETECTORS, verdict_udf
+    from ..operators.verdicts import TEXT_CHECKS, verdict_udf
 
     for name, udf in (("decode", decode_udf), ("compose", compose_udf), ("keyed", keyed_udf), ("fold", fold_udf), ("jamo", jamo_udf)):
         spark.udf.register(f"veil_{name}", udf)
     spark.udf.register("veil_latin", latin_udf(folder))
     spark.udf.register("veil_assess", assess_udf(folder))
-    for name in TEXT_DETECTORS:
+    for name in TEXT_CHECKS:
         spark.udf.register(f"veil_{name.lower()}", verdict_udf(name, folder))

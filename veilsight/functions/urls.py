@@ -127,17 +127,34 @@ def score(url: Column | str, depth: Column | str) -> Column:
     ).cast("int")
 
 
+def without_dots(path: Column) -> Column:
+    """A path from ``/`` on, with ``.`` and ``..`` carried out."""
+    parts = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    walked = F.aggregate(
+        parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    )
+    closing = F.when(path.rlike(r"/\.\.?$") & (F.size(walked) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(walked, "/"), closing)).otherwise(path)
+
+
 def resolve(base: Column | str, link: Column | str) -> Column:
-    """Absolute form of absolute, scheme-relative, root-relative and query links; others null (see ``sources.html``)."""
-    b, u = strip(base), F.trim(_c(link))
+    """Absolute form of a link on a page: absolute, scheme-relative, from the root, query or relative to the page's folder; null for no link."""
+    b, u = strip(base), strip(link)
     origin = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
     no_query = F.regexp_replace(b, "(?s)[?#].*$", "")
+    path = F.regexp_extract(u, r"(?s)^[^?#]*", 0)
+    rest = F.substring(u, F.length(path) + 1, F.length(u))
+    folder = F.regexp_extract(F.substring(no_query, F.length(origin) + 1, F.length(no_query)), r"(?s)^.*/", 0)
+    folder = F.when(folder == "", "/").otherwise(folder)
     return (
         F.when((u == "") | u.startswith("#") | u.rlike("(?i)^(javascript|mailto|tel|sms|data|blob|about):"), None)
         .when(u.rlike(SCHEME), u)
         .when(u.startswith("//"), F.concat(F.regexp_extract(b, "^[A-Za-z][A-Za-z0-9+.-]*:", 0), u))
-        .when(u.startswith("/"), F.concat(origin, u))
         .when(u.startswith("?"), F.concat(no_query, u))
+        .when(u.rlike(OTHER_SCHEME) | (origin == ""), None)
+        .when(u.startswith("/"), F.concat(origin, without_dots(path), rest))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, path)), rest))
     )
 
 

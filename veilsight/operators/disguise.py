@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources.tables import stored
 from .hidden import FRAME, ancestors
-from .verdicts import TEXT_DETECTORS, verdicts_udf
+from .verdicts import TEXT_CHECKS, verdicts_udf
 
 #: Cheap tests in the engine before the kernel sees a text.
 PREFILTERS = {
@@ -30,9 +30,9 @@ def suppress_full(found: DataFrame, above: DataFrame, by: tuple[str, ...] = ())
 
 
 def detect(names: list[str], holders: DataFrame, folder: str | None = None) -> DataFrame:
-    """Candidates of text detectors, with the columns of ``operators.hidden.detect``.
+    """Candidates of text checks, with the columns of ``operators.hidden.detect``.
 
-    Every different text that passes a prefilter is judged once, by all detectors; only frames in which
+    Every different text that passes a prefilter is judged once, by all checks; only frames in which
     an element rests on its children's text are walked up.
     """
     rows = holders.select(*FRAME, "e", F.posexplode(F.array("t", "f")).alias("k", "text")).where("text <> ''")
@@ -41,13 +41,13 @@ def detect(names: list[str], holders: DataFrame, folder: str | None = None) -> D
     verdicts = texts.where(worth).select("text", F.explode(verdicts_udf(names, folder)("text")).alias("v")).select("text", "v.*")
     hits = rows.join(verdicts, "text")
     first = F.min_by(F.struct("k", "text", "decoded", "method", "reasons", "keywords"), "k").alias("v")
-    found = hits.groupBy(*FRAME, "e", "detector").agg(first).withColumn("via_full", F.col("v.k") == 1)
+    found = hits.groupBy(*FRAME, "e", "check").agg(first).withColumn("via_full", F.col("v.k") == 1)
     found = stored(found, "disguised")  # read three times, few rows
     full = found.where("via_full").select(*FRAME).distinct()
     chain = holders.withColumn("p", F.col("ph")).join(full, FRAME, "left_semi")
-    out = suppress_full(found, ancestors(chain), ("detector",))
-    of = lambda k: F.coalesce(*[F.when(F.col("detector") == n, TEXT_DETECTORS[n][k]) for n in names]).cast("string")
+    out = suppress_full(found, ancestors(chain), ("check",))
+    of = lambda k: F.coalesce(*[F.when(F.col("check") == n, TEXT_CHECKS[n][k]) for n in names]).cast("string")
     return out.select(
-        *FRAME, "e", "detector", of(0).alias("technique"), of(1).alias("extra_type"), X.evidence("v.text").alias("evidence_text"),
+        *FRAME, "e", "check", of(0).alias("technique"), of(1).alias("extra_type"), X.evidence("v.text").alias("evidence_text"),
         "v.decoded", "v.method", "v.reasons", "v.keywords",
     )

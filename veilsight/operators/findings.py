@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..sources.tables import stored
 
 CORE = ("HOMOGLYPH", "JAMO", "TRANSPARENT", "OFFSCREEN")
 EXTRA, SHARED_PAGES = "ETC", 2
@@ -46,14 +47,14 @@ def ordered() -> list[Column]:
 def numbered(findings: DataFrame) -> DataFrame:
     """``id`` counts core and extra findings apart, in report order.
 
-    Numbers in order need one order: partitions are sorted by range and numbered with the sums of those
-    before, so no task holds all rows.
+    Numbers in order need one order: rows are dealt out by range, sorted, and written once with their
+    partition and place, so that counting and numbering read the same ranges; a partition's numbers begin
+    after the sums of those before, so no task holds all rows.
     """
     rows = findings.withColumn("core", is_core())
-    # a fixed number of partitions: adaptive execution must not merge them in one branch only
     n = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, F.col("core"), *ordered()).sortWithinPartitions(F.col("core"), *ordered())
-    placed = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    placed = stored(ranged.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "ranges")
     sums = placed.groupBy("__p", "core").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
     before = Window.partitionBy("core").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

@@ -11,18 +11,34 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 
 FAMILY_CAP, REQUEUE_PENALTY, MOST_LINKS = 30, 1000, 5000
+HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 
 
 def links(pages: DataFrame, most: int = MOST_LINKS) -> DataFrame:
-    """``page_id, url, link, ord``: different links of ``a`` and ``area`` per page with the place of the first, absolute."""
+    """``page_id, url, link, ord``: different links of ``a`` and ``area`` per page with the place of the first, absolute.
+
+    Read by patterns in the engine; ``tree_links`` also finds links in scripts and other attributes.
+    """
     visible = F.regexp_replace("html", _HIDDEN, "")
     tags = F.regexp_extract_all(visible, F.lit(r"(?i)<(?:a|area)\b[^>]*>"), F.lit(0))
     rows = pages.select("page_id", "url", F.posexplode(tags).alias("ord", "tag"))
-    rows = rows.where(~F.col("tag").rlike(r"(?i)\sdownload\b") & F.col("tag").rlike(r"(?i)\shref\s*="))
-    href = F.regexp_extract("tag", r"(?i)\shref\s*=\s*[\"']([^\"']*)", 1)
-    rows = rows.select("page_id", "url", (F.col("ord") + 1).alias("ord"), U.resolve("url", href).alias("link")).where("link is not null")
-    first = rows.groupBy("page_id", "url", "link").agg(F.min("ord").cast("int").alias("ord"))
+    rows = rows.where(~F.col("tag").rlike(r"(?i)\sdownload\b") & F.col("tag").rlike(HREF))
+    href = F.replace(F.concat(*[F.regexp_extract("tag", HREF, k) for k in (1, 2, 3)]), F.lit("&amp;"), F.lit("&"))
+    rows = rows.select("page_id", "url", (F.col("ord") + 1).alias("ord"), U.resolve("url", href).alias("link"))
+    return _first_links(rows, most)
+
+
+def tree_links(frames: DataFrame, most: int = MOST_LINKS) -> DataFrame:
+    """The same columns from the ``links`` of parsed frames: anchors, ``onclick``, ``data-`` attributes, refreshes and scripts."""
+    rows = frames.select("page_id", "url", "frame_id", F.posexplode("links").alias("at", "link"))
+    w = Window.partitionBy("page_id").orderBy("frame_id", "at")  # links of one page
+    rows = rows.where(F.col("link").rlike(U.SCHEME))
+    return _first_links(rows.select("page_id", "url", "link", F.row_number().over(w).alias("ord")), most)
+
+
+def _first_links(rows: DataFrame, most: int) -> DataFrame:
+    first = rows.where("link is not null").groupBy("page_id", "url", "link").agg(F.min("ord").cast("int").alias("ord"))
     return first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))).where(F.col("n") <= most).drop("n")
 
 

@@ -14,7 +14,7 @@ from ..functions.text import evidence, short_number
 from ..sources.tables import stored
 from . import assess as A
 
-OPACITY, ALPHA, CONTRAST, FONT_SIZE, ROOT_TEXT, MOST_LEVELS = 0.1, 0.1, 1.1, 1.0, 300, 1000
+OPACITY, ALPHA, CONTRAST, FONT_SIZE, ROOT_TEXT = 0.1, 0.1, 1.1, 1.0, 300
 FRAME = ["page_id", "frame_id"]
 # ---------------------------------------------------------------- fixed values
 SIDES = {"left": "왼쪽", "top": "위쪽"}
@@ -78,7 +78,7 @@ def clipped() -> Column:
     return F.array_compact(F.array(_signal(clip.isNotNull(), clip, how, _text("글자가 잘려 나가 보이지 않습니다(", how, ")."))))
 
 
-HIDDEN_DETECTORS = {
+HIDDEN_CHECKS = {
     "TRANSPARENT": ("TRANSPARENT", None, transparent),
     "OFFSCREEN": ("OFFSCREEN", None, offscreen),
     "VISIBILITY_HIDDEN": ("ETC", VISIBILITY_TYPE, invisible),
@@ -93,23 +93,31 @@ def nearest(signals: DataFrame, roots: DataFrame, by: tuple[str, ...] = ()) -> D
     return known.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank", "d")
 
 
-def closure(nodes: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
-    """``page_id, frame_id, e, anc``: every strict ancestor along ``p``, by a recursive query over the parent table."""
-    spark = nodes.sparkSession
-    name = f"veil_parents_{abs(hash(nodes)) % 10**12}"
-    nodes.select(*FRAME, "e", "p").where("p is not null").createOrReplaceTempView(name)
-    return spark.sql(
-        f"""WITH RECURSIVE up(page_id, frame_id, e, anc, level) MAX RECURSION LEVEL {most + 1} AS (
-              SELECT page_id, frame_id, e, p, 1 FROM {name}
-              UNION ALL
-              SELECT u.page_id, u.frame_id, u.e, t.p, u.level + 1 FROM up u JOIN {name} t
-                ON t.page_id = u.page_id AND t.frame_id = u.frame_id AND t.e = u.anc WHERE u.level < {most})
-            SELECT page_id, frame_id, e, anc FROM up"""
-    )
+def closure(nodes: DataFrame) -> DataFrame:
+    """``page_id, frame_id, e, anc``: every strict ancestor along ``p``, however deep, by doubling.
+
+    After round ``k`` the pairs reach ``2 ** k`` levels up, and ``jump`` holds each node's ancestor at just that
+    distance; pairs that start there continue the node's own. Each round is a join of written tables, and the
+    rounds are as many as the depth has binary digits. Parents that form a ring end when a chain would have to
+    be longer than there are nodes; each pair then comes once, a node of the ring being its own ancestor.
+    """
+    key = [*FRAME, "e"]
+    pairs = stored(nodes.where("p is not null").select(*key, F.col("p").alias("anc")), "closure")
+    jump, reach, n = pairs, 1, None
+    out = pairs
+    while not jump.isEmpty():
+        n = pairs.count() if n is None else n
+        if reach > n:
+            return out.distinct()
+        at = jump.select(*FRAME, F.col("e").alias("__e"), F.col("anc").alias("e"))
+        up = lambda t: at.join(t, key).select(*FRAME, F.col("__e").alias("e"), "anc")
+        more = up(out)
+        out, jump, reach = stored(out.unionByName(more), "closure"), stored(up(jump), "jumps"), reach * 2
+    return out
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """The closure, from the arrays of ancestors that parsed pages come with, else by recursion."""
+    """The closure, from the arrays of ancestors that parsed pages come with, else by doubling."""
     if "anc" in nodes.columns:
         return nodes.select(*FRAME, "e", F.explode("anc").alias("anc"))
     return closure(nodes)
@@ -134,30 +142,35 @@ def _said(prefix: str, text: str) -> Column:
 
 
 def detect(names: list[str], holders: DataFrame, roots: DataFrame, folder: str | None = None) -> DataFrame:
-    """Candidates ``page_id, frame_id, e, detector, technique, extra_type, evidence_text, decoded, method, reasons, keywords``."""
-    lists = F.array(*[F.struct(F.lit(n).alias("detector"), HIDDEN_DETECTORS[n][2]().alias("signals")) for n in names])
+    """Candidates ``page_id, frame_id, e, check, technique, extra_type, evidence_text, decoded, method, reasons, keywords``."""
+    lists = F.array(*[F.struct(F.lit(n).alias("check"), HIDDEN_CHECKS[n][2]().alias("signals")) for n in names])
     rows = holders.select(*FRAME, "ord", "t", "f", F.explode(lists).alias("x")).where(F.size("x.signals") > 0)
-    rows = rows.select(*FRAME, "ord", "t", "f", "x.detector", F.posexplode("x.signals").alias("n", "s")).select(*FRAME, "ord", "t", "f", "detector", "n", "s.*")
-    near = nearest(rows, roots, ("detector",)).withColumnRenamed("root", "e")
+    rows = rows.select(*FRAME, "ord", "t", "f", "x.check", F.posexplode("x.signals").alias("n", "s")).select(*FRAME, "ord", "t", "f", "check", "n", "s.*")
+    near = nearest(rows, roots, ("check",)).withColumnRenamed("root", "e")
     held = near.join(roots.select(*FRAME, "e", F.col("t").alias("root_text"), F.col("n").alias("root_n"), "m"), [*FRAME, "e"]).where("m is null or m <> 1")
 
-    # every different text is assessed once: own and full texts of holders, texts of roots
-    texts = held.select(F.explode(F.array("t", "f", "root_text")).alias("text")).where("text is not null").distinct()
-    done = texts.withColumn("a", A.assess_udf(folder)("text"))
-    verdicts = done.select(
-        "text", A.hidden_ad_like(F.col("a")).alias("ad"), F.col("a.letters").alias("letters"), F.col("a.hit_letters").alias("hit_letters"),
+    # every different text is assessed once: own and full texts of holders, texts of roots; it is known by two 64-bit hashes
+    texts = ("root_text", "t", "f")
+    held = held.withColumn("__row", F.monotonically_increasing_id())
+    held = stored(held, "held")
+    each = held.select("__row", F.posexplode(F.array(*texts)).alias("k", "text")).where("text is not null")
+    each = each.select("__row", "k", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    known = each.groupBy("h1", "h2").agg(F.first("text").alias("text")).withColumn("a", A.assess_udf(folder)("text"))
+    verdicts = known.select(
+        "h1", "h2", A.hidden_ad_like(F.col("a")).alias("ad"), F.col("a.letters").alias("letters"), F.col("a.hit_letters").alias("hit_letters"),
         F.col("a.decoded").alias("decoded"), F.concat("a.keywords", "a.contacts").alias("words"),
     )
-    verdicts = stored(verdicts, "verdicts")
-    for prefix, text in (("r", "root_text"), ("t", "t"), ("f", "f")):
-        named = verdicts.select(*[F.col(c).alias(f"{prefix}_{c}") for c in verdicts.columns])
-        held = held.join(named, held[text] == named[f"{prefix}_text"], "left").drop(f"{prefix}_text")
+    facts = ("ad", "letters", "hit_letters", "decoded", "words")
+    judged = each.drop("text").join(verdicts, ["h1", "h2"]).groupBy("__row").agg(
+        *[F.any_value(F.when(F.col("k") == k, F.col(c)), ignoreNulls=True).alias(f"{prefix}_{c}") for k, prefix in enumerate("rtf") for c in facts]
+    )
+    held = held.join(judged, "__row", "left").drop("__row")
 
     dense = (F.col("root_n") <= A.COMPACT_TEXT) | (F.col("r_hit_letters") * A.DENSE_RATIO >= F.col("r_letters"))
     own, full = _said("t", "t"), _said("f", "f")
     told = lambda p, text: F.struct("ord", F.col(text).alias("text"), F.col(f"{p}_decoded").alias("decoded"), F.col(f"{p}_words").alias("words"))
     place = lambda c: F.struct("ord", F.col(c).alias("v"))
-    groups = held.where(dense).groupBy(*FRAME, "e", "detector").agg(
+    groups = held.where(dense).groupBy(*FRAME, "e", "check").agg(
         F.bool_or(own).alias("own"), F.bool_or(full).alias("full"),
         F.min(F.when(own, told("t", "t"))).alias("first_own"), F.min(F.when(own, told("t", "t")).when(full, told("f", "f"))).alias("first"),
         *[F.first(c).alias(c) for c in ("root_text", "root_n", "r_ad", "r_decoded", "r_words")],
@@ -166,11 +179,11 @@ def detect(names: list[str], holders: DataFrame, roots: DataFrame, folder: str |
     groups = groups.withColumn("whole", (F.col("root_n") <= ROOT_TEXT) & _said("r", "root_text")).withColumn("rest", F.col("full") | F.col("whole"))
     groups = stored(groups.where("own or rest"), "hidden")  # read three times, few rows
     known = roots.join(groups.select(*FRAME).distinct(), FRAME, "left_semi")
-    out = suppress(groups, ancestors(known), ("detector",))
+    out = suppress(groups, ancestors(known), ("check",))
     pick = lambda f, c: F.when(F.col("whole"), F.col(c)).when(F.col("covered"), F.col(f"first_own.{f}")).otherwise(F.col(f"first.{f}"))
-    of = lambda k: F.coalesce(*[F.when(F.col("detector") == n, HIDDEN_DETECTORS[n][k]) for n in names]).cast("string")
+    of = lambda k: F.coalesce(*[F.when(F.col("check") == n, HIDDEN_CHECKS[n][k]) for n in names]).cast("string")
     return out.select(
-        *FRAME, "e", "detector", of(0).alias("technique"), of(1).alias("extra_type"), evidence(pick("text", "root_text")).alias("evidence_text"),
+        *FRAME, "e", "check", of(0).alias("technique"), of(1).alias("extra_type"), evidence(pick("text", "root_text")).alias("evidence_text"),
         pick("decoded", "r_decoded").alias("decoded"), F.array_join("methods", ", ").alias("method"),
         F.concat("reasons", F.array(F.lit(HIDDEN_REASON))).alias("reasons"), F.array_distinct(pick("words", "r_words")).alias("keywords"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 RGB = r"^rgba?\(\s*([\d.]+)[,\s]+([\d.]+)[,\s]+([\d.]+)(?:\s*[,/]\s*([\d.]+)(%?))?\s*\)$"
 
 
@@ -34,14 +36,22 @@ def contrast(a: Column, b: Column) -> Column:
     return (F.greatest(la, lb) + 0.05) / (F.least(la, lb) + 0.05)
 
 
-def accumulated(nodes: DataFrame, view: str) -> DataFrame:
-    """Of ``page_id, e, p, op, none`` the opacity along the tree and the nearest ``display:none`` element, top down."""
-    nodes.createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE down(page_id, e, cum, none_root, level) MAX RECURSION LEVEL 1001 AS (
-              SELECT page_id, e, op, CASE WHEN none THEN e END, 0 FROM {view} WHERE p IS NULL
-              UNION ALL
-              SELECT n.page_id, n.e, d.cum * n.op, CASE WHEN n.none THEN n.e ELSE d.none_root END, d.level + 1
-              FROM down d JOIN {view} n ON n.page_id = d.page_id AND n.p = d.e WHERE d.level < 1000)
-            SELECT page_id, e, cum, none_root FROM down"""
-    )
+def accumulated(nodes: DataFrame) -> DataFrame:
+    """Of ``page_id, e, p, op, none`` the opacity along the tree and the nearest ``display:none`` element, for nodes under a top.
+
+    Doubling: each node carries what accumulates from itself up to, and without, the ancestor ``to``; a round
+    appends what that one carries, so the rounds are as many as the depth has binary digits. Nodes whose
+    parents are missing or form a ring have no top and are left out.
+    """
+    mine = F.when(F.col("none"), F.col("e")).alias("none_root")
+    state = stored(nodes.select("page_id", "e", F.col("p").alias("to"), F.col("op").alias("cum"), mine), "style")
+    reach, n = 1, None
+    while not state.where("to is not null").isEmpty():
+        n = state.count() if n is None else n
+        if reach > n:
+            return state.where("to is null").select("page_id", "e", "cum", "none_root")
+        above = state.select("page_id", F.col("e").alias("to"), F.col("to").alias("far"), F.col("cum").alias("more"), F.col("none_root").alias("other"))
+        open_ = state.where("to is not null").join(above, ["page_id", "to"])
+        open_ = open_.select("page_id", "e", F.col("far").alias("to"), (F.col("cum") * F.col("more")).alias("cum"), F.coalesce("none_root", "other").alias("none_root"))
+        state, reach = stored(state.where("to is null").unionByName(open_), "style"), reach * 2
+    return state.select("page_id", "e", "cum", "none_root")

@@ -37,7 +37,7 @@ DECODES = [
 #: Word in Latin keys, its Korean reading or nothing.
 KEYED = [("zkwlsh", "카지노"), ("xhxh", "토토"), ("hello", None), ("qkzkfk", "바카라"), ("abc", "뮻"), ("tmffht", "슬롯"), ("QKfel", "빨디")]
 
-#: Text, and the verdict of each detector: homoglyph, jamo, zero-width, keyboard.
+#: Text, and the verdict of each check: homoglyph, jamo, zero-width, keyboard.
 VERDICTS = [
     ("ㅋㅏㅈㅣㄴㅗ 가입 문의", (False, True, False, False)),
     ("сasinо bonus 가입", (True, False, False, False)),

@@ -80,7 +80,7 @@ def nearest_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cumulative_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opacity along the tree, and the innermost element that isn't displayed."""
     nodes = _tree(spark, sf_dir).select("page_id", "e", "p", (F.lit(1.0) - (F.col("id") % 4) / 10.0).alias("op"), (F.col("id") % 11 == 0).alias("none"))
-    return M.accumulated(nodes, "veil_style_nodes").select("page_id", "e", F.round("cum", 6).alias("cum"), "none_root")
+    return M.accumulated(nodes).select("page_id", "e", F.round("cum", 6).alias("cum"), "none_root")
 
 
 _COLOURS = ["rgb(255, 255, 255)", "rgba(0, 0, 0, 0.5)", "transparent", "rgb(250 250 250)", "rgba(10, 20, 30, 40%)", "red", "rgb(245, 245, 245)"]

@@ -10,21 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import disguise, findings, hidden
-from ..operators.verdicts import TEXT_DETECTORS
+from ..operators.verdicts import TEXT_CHECKS
 from ..sources import html as html_source
 from ..sources.tables import stored
 
-CORE_DETECTORS = ("HOMOGLYPH", "JAMO", "TRANSPARENT", "OFFSCREEN")
-EXTRA_DETECTORS = ("VISIBILITY_HIDDEN", "CLIPPED", "ZERO_WIDTH", "KEYBOARD_LAYOUT")
-#: Detectors of the user's own: name to ``f(holders, roots, folder) -> candidates``.
-OWN_DETECTORS: dict[str, Callable[[DataFrame, DataFrame, str | None], DataFrame]] = {}
+CORE_CHECKS = ("HOMOGLYPH", "JAMO", "TRANSPARENT", "OFFSCREEN")
+EXTRA_CHECKS = ("VISIBILITY_HIDDEN", "CLIPPED", "ZERO_WIDTH", "KEYBOARD_LAYOUT")
+#: Checks of the user's own: name to ``f(holders, roots, folder) -> candidates``.
+OWN_CHECKS: dict[str, Callable[[DataFrame, DataFrame, str | None], DataFrame]] = {}
 
 
-def detector(name: str):
-    """Registers a detector; its candidates have the columns of ``operators.hidden.detect``."""
+def check(name: str):
+    """Registers a check; its candidates have the columns of ``operators.hidden.detect``."""
 
     def add(f):
-        OWN_DETECTORS[name] = f
+        OWN_CHECKS[name] = f
         return f
 
     return add
@@ -44,26 +44,26 @@ class ScanResult:
 
 
 def candidates(holders: DataFrame, roots: DataFrame, extras: bool = True, folder: str | None = None) -> DataFrame:
-    names = [*CORE_DETECTORS, *(EXTRA_DETECTORS if extras else ())]
+    names = [*CORE_CHECKS, *(EXTRA_CHECKS if extras else ())]
     parts = [
-        disguise.detect([n for n in names if n in TEXT_DETECTORS], holders, folder),
-        hidden.detect([n for n in names if n in hidden.HIDDEN_DETECTORS], holders, roots, folder),
-        *[f(holders, roots, folder) for f in OWN_DETECTORS.values()],
+        disguise.detect([n for n in names if n in TEXT_CHECKS], holders, folder),
+        hidden.detect([n for n in names if n in hidden.HIDDEN_CHECKS], holders, roots, folder),
+        *[f(holders, roots, folder) for f in OWN_CHECKS.values()],
     ]
-    order = F.array_position(F.array(*map(F.lit, [*names, *OWN_DETECTORS])), F.col("detector"))
-    return reduce(DataFrame.unionByName, parts).withColumn("detector_ord", order)
+    order = F.array_position(F.array(*map(F.lit, [*names, *OWN_CHECKS])), F.col("check"))
+    return reduce(DataFrame.unionByName, parts).withColumn("check_ord", order)
 
 
 def scan_tables(holders: DataFrame, roots: DataFrame, selectors: DataFrame, extras: bool = True, folder: str | None = None) -> ScanResult:
     """Findings from holders, roots and ``page_id, frame_id, e, url, location``."""
     found = findings.locate(candidates(holders, roots, extras, folder), selectors)
-    arrival = F.struct("page_id", "frame_id", "detector_ord", "e")
-    first = findings.collect(found.withColumn("arrival", arrival)).drop("arrival", "detector", "detector_ord", "frame_id", "e")
+    arrival = F.struct("page_id", "frame_id", "check_ord", "e")
+    first = findings.collect(found.withColumn("arrival", arrival)).drop("arrival", "check", "check_ord", "frame_id", "e")
     return ScanResult(stored(first, "findings"))  # reports read it several times
 
 
 def scan(pages: DataFrame, css: str = "", extras: bool = True, folder: str | None = None) -> ScanResult:
-    """Findings from ``page_id, url, html``; frames are parsed once, however many detectors look at them."""
+    """Findings from ``page_id, url, html``; frames are parsed once, however many checks look at them."""
     frames = html_source.read_frames(pages, css)
     return scan_tables(*html_source.tables(frames), extras=extras, folder=folder)
 

@@ -95,13 +95,6 @@ def css_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", run("html").alias("location"))
 
 
-@query()
-def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of pages by the tree, without repeats."""
-    frames = W.read_frames(table(spark, sf_dir, "pages"))
-    return frames.select("page_id", F.explode("links").alias("link"))
-
-
 @query()
 def html_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holders of the pages with advertising put in."""

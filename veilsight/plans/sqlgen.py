@@ -95,13 +95,26 @@ def score(x: str, depth: str) -> str:
     )
 
 
+def without_dots(path: str) -> str:
+    """Dots carried out one pair at a time by a fold over the parts."""
+    parts = f"string_split(substr({path}, 2), '/')"
+    fold = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}, lambda x: [x])), lambda done, x: CASE x[1] WHEN '..' THEN done[1:greatest(len(done) - 1, 0)] WHEN '.' THEN done ELSE list_concat(done, x) END)"
+    closing = f"CASE WHEN {has(path, '/[.][.]?$')} AND len({fold}) > 0 THEN '/' ELSE '' END"
+    return f"(CASE WHEN {has(path, '/[.][.]?(/|$)')} THEN '/' || array_to_string({fold}, '/') || {closing} ELSE {path} END)"
+
+
 def resolve(base: str, link: str) -> str:
-    b, u = strip(base), f"trim({link})"
+    b, u = strip(base), strip(link)
+    origin, no_query = f"regexp_extract({b}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')", sub(b, "(?s)[?#].*$")
+    path = f"regexp_extract({u}, '(?s)^[^?#]*')"
+    rest = f"substr({u}, length({path}) + 1)"
+    folder = f"coalesce(nullif(regexp_extract(substr({no_query}, length({origin}) + 1), '(?s)^.*/'), ''), '/')"
     return (
         f"CASE WHEN {u} = '' OR {u} LIKE '#%' OR {has(u, '(?i)^(javascript|mailto|tel|sms|data|blob|about):')} THEN NULL"
         f" WHEN {has(u, U.SCHEME)} THEN {u} WHEN {u} LIKE '//%' THEN regexp_extract({b}, '^[A-Za-z][A-Za-z0-9+.-]*:') || {u}"
-        f" WHEN {u} LIKE '/%' THEN regexp_extract({b}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || {u}"
-        f" WHEN {u} LIKE '?%' THEN {sub(b, '(?s)[?#].*$')} || {u} END"
+        f" WHEN {u} LIKE '?%' THEN {no_query} || {u} WHEN {has(u, U.OTHER_SCHEME)} OR {origin} = '' THEN NULL"
+        f" WHEN {u} LIKE '/%' THEN {origin} || {without_dots(path)} || {rest}"
+        f" ELSE {origin} || {without_dots(f'({folder} || {path})')} || {rest} END"
     )
 
 

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions.udfs import compose_udf, decode_udf, fold_udf, keyed_udf, latin_udf
 from ..operators import assess as A
 from ..operators import matching as M
-from ..operators.verdicts import TEXT_DETECTORS, verdict_udf
+from ..operators.verdicts import TEXT_CHECKS, verdict_udf
 from ..sources.keywords import load
 from . import sqlgen as S
 from .cases import DECODES, KEYED, PLAIN, VERDICTS
@@ -246,7 +246,7 @@ def latin_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.by_distinct(_cases(spark, sf_dir, _LATTICE), "t", "words", latin_udf()).select("doc_id", "words")
 
 
-def _detector(name: str, which: int) -> None:
+def _check(name: str, which: int) -> None:
     cases = [c[0] for c in VERDICTS]
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,8 +257,8 @@ def _detector(name: str, which: int) -> None:
     query(f"SELECT doc_id, ([{', '.join(str(int(c[1][which])) for c in VERDICTS)}])[(doc_id % {len(VERDICTS)}) + 1] AS hit FROM documents")(f)
 
 
-for _k, _name in enumerate(TEXT_DETECTORS):
-    _detector(_name, _k)
+for _k, _name in enumerate(TEXT_CHECKS):
+    _check(_name, _k)
 
 
 

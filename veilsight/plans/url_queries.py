@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import frontier as FR
+from ..sources import html
 from . import sqlgen as S
-from .registry import pick, query, sql_pick, table
+from .registry import pick, query, sql_pick, sql_text, table
 
 #: What is put after the stored URLs so that all rules meet cases.
 SUFFIXES = ["", "#part", ";jsessionid=0A1B?b=2&a=1", "?b=2&&a=1", "/index.html", "?page=7", "?page=99999999999", "/a/b/c/d/e/board/", "/file.PDF", "/?act=logout", "//", "?lang=ko&pg=3"]
@@ -53,19 +54,39 @@ def url_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "e", U.entry("e").alias("v"))
 
 
+#: Markup put first into each body, so that all forms of links meet cases.
+ANCHORS = [
+    '<a href="b.html">', "<a class=x href='../c.html?x=1&amp;y=2#z'>", "<a href=d/./e.html>", '<area href="../../../../f">', "<a href=//other.example/g>", '<a href="?page=2">',
+    '<a href="/h/../i/">', "<a href=mailto:a@b.c>", '<a download href="j.zip">', '<a href="#top">', '<a href="x:y">', "<a href='..'>", '<a href=" k l.html ">', "<A HREF=.>",
+]
+_WITH_LINKS = f"(SELECT page_id, url, replace(html, '<body>', '<body>' || {sql_pick(ANCHORS, 'page_id')} || {sql_pick(ANCHORS, 'page_id // 7')}) AS html FROM pages)"
 _VISIBLE = S.sub("html", r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>")
 _TAGS = f"unnest(regexp_extract_all({_VISIBLE}, '(?i)<(?:a|area)\\b[^>]*>'))"
+_HREF = "replace(" + " || ".join(f"regexp_extract(tag, {sql_text(FR.HREF)}, {k})" for k in (1, 2, 3)) + ", '&amp;', '&')"
 _LINKS = (
-    f"(SELECT page_id, url, ord, {S.resolve('url', 'href')} AS link FROM (SELECT page_id, url, ord, regexp_extract(tag, '(?i)\\shref\\s*=\\s*[\"'']([^\"'']*)', 1) AS href, tag"
-    f" FROM (SELECT page_id, url, {_TAGS} AS tag, unnest(range(1, len(regexp_extract_all({_VISIBLE}, '(?i)<(?:a|area)\\b[^>]*>')) + 1)) AS ord FROM pages))"
-    f" WHERE NOT {S.has('tag', '(?i)\\sdownload\\b')} AND {S.has('tag', '(?i)\\shref\\s*=')})"
+    f"(SELECT page_id, url, ord, {S.resolve('url', 'href')} AS link FROM (SELECT page_id, url, ord, {_HREF} AS href, tag"
+    f" FROM (SELECT page_id, url, {_TAGS} AS tag, unnest(range(1, len(regexp_extract_all({_VISIBLE}, '(?i)<(?:a|area)\\b[^>]*>')) + 1)) AS ord FROM {_WITH_LINKS}))"
+    f" WHERE NOT {S.has('tag', '(?i)\\sdownload\\b')} AND {S.has('tag', FR.HREF)})"
 )
 _FIRST_LINKS = f"(SELECT page_id, url, link, min(ord)::INTEGER AS ord FROM {_LINKS} WHERE link IS NOT NULL GROUP BY ALL)"
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    put = F.concat(F.lit("<body>"), pick(ANCHORS, n), pick(ANCHORS, F.floor(n / 7)))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace(F.col("html"), F.lit("<body>"), put).alias("html"))
+
+
 @query(f"SELECT page_id, link, ord FROM {_FIRST_LINKS}")
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FR.links(table(spark, sf_dir, "pages")).select("page_id", "link", "ord")
+    return FR.links(_linked(spark, sf_dir)).select("page_id", "link", "ord")
+
+
+@query(f"SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY ord)::INTEGER AS n FROM {_FIRST_LINKS}")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages by the tree, in order, without repeats."""
+    rows = FR.tree_links(html.read_frames(_linked(spark, sf_dir)))
+    return rows.select("page_id", "link", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")).alias("n"))
 
 
 _SCOPE = f"(SELECT DISTINCT {S.bare_host('url')} AS h FROM pages WHERE contains(url, '/en/'))"
@@ -82,7 +103,7 @@ _VISITABLE = f"(SELECT page_id, link, ord FROM {_FIRST_LINKS} WHERE {S.bare_host
 
 @query(f"SELECT page_id, link, ord FROM {_VISITABLE}")
 def link_visitable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = _linked(spark, sf_dir)
     return FR.visitable(FR.links(pages), "link", pages.where("contains(url, '/en/')"), "url").select("page_id", "link", "ord")
 
 

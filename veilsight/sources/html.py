@@ -485,11 +485,13 @@ def snapshot(html: str, css: str = "") -> dict:
     return {"truncated": truncated, "holders": holders, "roots": roots, "selectors": named, "tree": tree}
 
 
-def frames(html: str, url: str, css: str = "", depth: int = 3) -> list[dict]:
+def frames(html: str, url: str, css: str = "") -> list[dict]:
     """The page and its inline frames, each with the prefix of its selectors; sources of other frames in ``srcs``."""
     out: list[dict] = []
 
-    def visit(text: str, prefix: str, level: int) -> None:
+    todo = [(html, "")]
+
+    def visit(text: str, prefix: str) -> None:
         snap = snapshot(text, css)
         tree = snap.pop("tree")
         snap |= {"frame_id": len(out), "prefix": prefix, "links": links(tree, url), "srcs": []}
@@ -499,12 +501,13 @@ def frames(html: str, url: str, css: str = "", depth: int = 3) -> list[dict]:
         for e in inner:
             src = urljoin(url, e.attrs["src"]) if e.attrs.get("src") else ""
             path = f'iframe[src="{src}"]' if src and addresses.count(src) == 1 else selector(tree, e) or "iframe"
-            if "srcdoc" in e.attrs and level < depth:
-                visit(e.attrs["srcdoc"], f"{prefix}{path} >>> ", level + 1)
+            if "srcdoc" in e.attrs:  # each lies inside the other, so they end
+                todo.append((e.attrs["srcdoc"], f"{prefix}{path} >>> "))
             elif src:
                 snap["srcs"].append({"src": src, "prefix": f"{prefix}{path} >>> "})
 
-    visit(html, "", 0)
+    while todo:
+        visit(*todo.pop(0))
     return out
 
 
@@ -533,27 +536,35 @@ def frames_udf(css: str = ""):
     return run
 
 
-def read_frames(pages: DataFrame, css: str = "", nested: int = 2) -> DataFrame:
-    """``page_id, url, frame_id, prefix, holders, roots, selectors, links``: all frames of stored pages.
+def read_frames(pages: DataFrame, css: str = "") -> DataFrame:
+    """``page_id, url, frame_id, prefix, truncated, holders, roots, selectors, links``: all frames of stored pages.
 
-    Frames with a source are found among the stored pages by their address, ``nested`` levels deep at most.
+    Frames with a source are found among the stored pages by their address (of several pages with one
+    address, the one with the smallest ``page_id``), level by level until none is left. A page that stands
+    in its own frames is not opened again below itself.
     """
     whole = spread(pages.select("page_id", "url", "html")).select("page_id", "url", F.explode(frames_udf(css)("html", "url")).alias("f")).select("page_id", "url", "f.*")
-    whole = stored(whole, "frames")  # parsed once, though the levels of frames below read it again
-    own = whole.withColumn("path", F.col("frame_id").cast("string"))
-    known = own.select(U.key("url").alias("k"), *[F.col(c).alias(f"in_{c}") for c in ("frame_id", "prefix", "truncated", "holders", "roots", "selectors", "links", "srcs")])
-    out, last = own, own
-    for _ in range(nested):
-        wanted = last.select("page_id", "url", "path", F.posexplode("srcs").alias("n", "s"))
-        wanted = wanted.select("page_id", "url", F.concat_ws(".", "path", F.col("n").cast("string")).alias("path"), F.col("s.prefix").alias("outer"), U.key("s.src").alias("k"))
+    whole = stored(whole.withColumn("k", U.key("url")), "frames")  # parsed once, though the levels of frames below read it again
+    first = whole.groupBy("k").agg(F.min("page_id").alias("page_id"))
+    held = ("frame_id", "prefix", "truncated", "holders", "roots", "selectors", "links", "srcs")
+    known = whole.join(first, ["k", "page_id"]).select("k", *[F.col(c).alias(f"in_{c}") for c in held])
+    last = whole.withColumn("path", F.col("frame_id").cast("string")).withColumn("above", F.array("k")).withColumn("outer", F.lit("")).drop("k")
+    out, columns = last, last.columns
+    while True:
+        wanted = last.select("page_id", "url", "path", "above", "outer", F.posexplode("srcs").alias("n", "s"))
+        wanted = wanted.select("page_id", "url", F.concat_ws(".", "path", F.col("n").cast("string")).alias("path"), "above", F.concat("outer", "s.prefix").alias("outer"), U.key("s.src").alias("k"))
+        wanted = wanted.where(~F.array_contains("above", F.col("k")))
         last = wanted.join(known, "k").select(
-            "page_id", "url", F.col("in_frame_id").alias("frame_id"), F.concat("outer", "in_prefix").alias("prefix"), F.col("in_truncated").alias("truncated"),
-            F.col("in_holders").alias("holders"), F.col("in_roots").alias("roots"), F.col("in_selectors").alias("selectors"), F.col("in_links").alias("links"),
-            F.col("in_srcs").alias("srcs"), F.concat_ws("/", "path", F.col("in_frame_id").cast("string")).alias("path"),
+            "page_id", "url", *[F.col(f"in_{c}").alias(c) for c in held if c != "prefix"], F.concat("outer", "in_prefix").alias("prefix"),
+            F.concat_ws("/", "path", F.col("in_frame_id").cast("string")).alias("path"), F.concat("above", F.array("k")).alias("above"), "outer",
         )
+        last = stored(last.select(columns), "frames_below")
+        if last.isEmpty():
+            break
         out = out.unionByName(last)
-    # one number per frame of a page, in order of the path that leads to it
-    return out.withColumn("frame_id", F.abs(F.hash("path"))).drop("srcs", "path")
+    # one number per frame of a page: 64 bits of the path that leads to it, the page itself 0
+    number = F.when(F.col("path") == "0", F.lit(0)).otherwise(F.xxhash64("path"))
+    return out.withColumn("frame_id", number.cast("long")).drop("srcs", "path", "above", "outer")
 
 
 def tables(frames_df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
