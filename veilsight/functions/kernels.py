@@ -312,9 +312,9 @@ def _classify(c: str) -> tuple[str, str] | None:
         return (c, "N") if c.isdigit() else (c, "-") if c in "-_." else None
     if c in T.SCRIPT:
         return T.SCRIPT[c], "S"
-    if a := T.compat_ascii(c):
+    if a := T.compat_table().get(c):
         return (a.lower(), "C") if a.isalpha() else (T.LEET[a] + a, "L") if a in T.LEET else (a, "N")
-    if b := T.base_letter(c):
+    if b := T.diacritic_table().get(c):
         return b, "D"
     if c in T.WIDE_SEPARATORS:
         return "-", "-"

@@ -63,35 +63,36 @@ def _jamo_forms() -> dict[str, str]:
 JAMO_FORMS = _jamo_forms()
 
 
-@lru_cache(maxsize=1 << 16)
-def compat_ascii(c: str) -> str:
-    """The ASCII letter or digit that a character folds to under NFKC, or nothing."""
-    if c < "\x80":
-        return ""
-    folded = unicodedata.normalize("NFKC", c)
-    return folded if len(folded) == 1 and folded < "\x80" and folded.isalnum() else ""
+def _ascii_of(form: str, code: int, length: slice) -> str:
+    """What a normal form starts with, if that is an ASCII letter or digit standing as the slice asks."""
+    whole = unicodedata.normalize(form, chr(code))
+    return whole[0] if whole[0].isascii() and whole[0].isalnum() and len(whole) in range(*length.indices(64)) else ""
 
 
-@lru_cache(maxsize=1 << 10)
-def base_letter(c: str) -> str:
-    """The Latin letter under a diacritic, lower-cased, or nothing."""
-    if not "À" <= c <= "ɏ":
-        return ""
-    parts = unicodedata.normalize("NFD", c)
-    return parts[0].lower() if len(parts) > 1 and parts[0] < "\x80" and parts[0].isalpha() else ""
+@lru_cache(maxsize=1)
+def compat_table() -> dict[str, str]:
+    """Characters beyond ASCII whose NFKC form is one ASCII letter or digit, with it."""
+    planes = (*range(0x80, 0xD800), *range(0xE000, 0x20000))
+    return {chr(x): to for x in planes if (to := _ascii_of("NFKC", x, slice(1, 2)))}
 
 
 @lru_cache(maxsize=1)
+def diacritic_table() -> dict[str, str]:
+    """Latin letters from ``À`` to ``ɏ`` with marks that NFD takes off, with the lower-case letter under them."""
+    return {chr(x): to.lower() for x in range(0xC0, 0x250) if (to := _ascii_of("NFD", x, slice(2, None))).isalpha()}
+
+
+def _strings(table: dict[str, str]) -> tuple[str, str]:
+    return "".join(table), "".join(table.values())
+
+
 def compat_pairs() -> tuple[str, str]:
     """All characters that fold to one ASCII letter or digit, and those; for ``translate``."""
-    pairs = [(c, t) for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if (t := compat_ascii(c))]
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+    return _strings(compat_table())
 
 
-@lru_cache(maxsize=1)
 def diacritic_pairs() -> tuple[str, str]:
-    pairs = [(c, t) for c in map(chr, range(0xC0, 0x250)) if (t := base_letter(c))]
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+    return _strings(diacritic_table())
 
 
 def script_pairs() -> tuple[str, str]:
