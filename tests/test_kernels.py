@@ -122,3 +122,22 @@ def test_dictionary_lines(tmp_path):
     d = keywords.load(str(tmp_path))
     assert [(k.word, k.weight, k.category, k.excludes) for k in d.korean] == [("가나", 3, "갈래", ("가나다", "라")), ("다라", 2, "기타", ()), ("마바", 2, "기타", ())]
     assert d.latin == WORDS.latin
+
+
+def test_verdict_columns_say_what_the_assessment_says(spark):
+    """Score, blocking and the verdicts are stated for the kernel and as columns; both agree on made-up and long texts."""
+    from pyspark.sql import functions as F
+
+    from veilsight.operators import assess as A
+    from veilsight.plans.cases import DECODES, PLAIN, VERDICTS
+    from veilsight.sources.keywords import load
+
+    bits = PLAIN + [d[0] for d in DECODES] + [v[0] for v in VERDICTS]
+    texts = [f"{a} {b}" for a in bits for b in bits[::3]] + [a + " 안내 문장입니다." * 20 + b for a in bits[::2] for b in bits[::5]]
+    a = F.col("a")
+    columns = [A.max_weight(a), A.score(a), A.blocked(a), A.ad_like(a), A.hidden_ad_like(a), A.compact(a, F.length("t"))]
+    rows = A.by_distinct(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "a", A.assess_udf()).select("t", *[c.alias(f"c{k}") for k, c in enumerate(columns)])
+    words = load(None)
+    for r in rows.collect():
+        x = A.assess(r["t"], words)
+        assert tuple(r)[1:] == (x.max_weight, x.score, x.blocked, x.ad_like, x.hidden_ad_like, x.compact(len(r["t"]))), r["t"]

@@ -21,7 +21,17 @@ _D = f"(SELECT doc_id, {sql_pick(PLAIN, 'doc_id')} AS t FROM documents)"
 _KO = "(VALUES " + ", ".join(f"({k.kw_id}, {sql_text(k.word)}, {k.weight}, {'[' + ', '.join(map(sql_text, k.excludes)) + ']::VARCHAR[]'}, {sql_text(k.jamo)})" for k in DICT.korean) + ") AS k(kw_id, word, weight, excludes, jamo)"
 
 
+def _sql_cases(cases: list[str]) -> str:
+    return f"(SELECT doc_id, {sql_pick(cases, 'doc_id')} || ' ' || text AS t FROM documents)"
+
+
+def _whole(spark: SparkSession, sf_dir: str, cases: list[str]) -> DataFrame:
+    """A made-up case before each whole stored text, as those hold no Hangul."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(cases, F.col("doc_id")), F.lit(" "), "text").alias("t"))
+
+
 def _cases(spark: SparkSession, sf_dir: str, cases: list[str]) -> DataFrame:
+    """The made-up cases alone."""
     return table(spark, sf_dir, "documents").select("doc_id", pick(cases, F.col("doc_id")).alias("t"))
 
 
@@ -29,11 +39,10 @@ def _fold(name: str, cases: list[str], column, sql: str) -> None:
     """Folds both a made-up case and the stored text."""
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(cases, F.col("doc_id")), F.lit(" "), F.col("text")).alias("t"))
-        return df.select("doc_id", column(F.col("t")).alias("v"))
+        return _whole(spark, sf_dir, cases).select("doc_id", column(F.col("t")).alias("v"))
 
     f.__name__ = name
-    query(f"SELECT doc_id, {sql} AS v FROM (SELECT doc_id, {sql_pick(cases, 'doc_id')} || ' ' || text AS t FROM documents)")(f)
+    query(f"SELECT doc_id, {sql} AS v FROM {_sql_cases(cases)}")(f)
 
 
 _WIDE = ["ｃａｓｉｎｏ ７７７", "𝐜𝐚𝐬𝐢𝐧𝐨", "plain", "ⓒⓐⓢⓘⓝⓞ", "Ａ－Ｂ＿Ｃ"]
@@ -123,26 +132,29 @@ def _present(words: list[str], t: str = "t") -> str:
     return f"list_filter({_array(words)}, lambda w: contains({t}, w))"
 
 
-@query(f"SELECT doc_id, array_to_string({_present(A.CUES)}, ',') AS cues, array_to_string({_present(A.REPORT_CONTEXT)}, ',') AS context, array_to_string({_present(A.STRONG_CONTEXT)}, ',') AS strong FROM {_D}")
+@query(f"SELECT doc_id, array_to_string({_present(A.CUES)}, ',') AS cues, array_to_string({_present(A.REPORT_CONTEXT)}, ',') AS context, array_to_string({_present(A.STRONG_CONTEXT)}, ',') AS strong FROM {_sql_cases(PLAIN)}")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues, report context and strong context of short texts."""
+    """Cues, report context and strong context of whole texts."""
     show = lambda words: F.array_join(M.present("t", words), ",")
-    return _cases(spark, sf_dir, PLAIN).select("doc_id", show(A.CUES).alias("cues"), show(A.REPORT_CONTEXT).alias("context"), show(A.STRONG_CONTEXT).alias("strong"))
+    return _whole(spark, sf_dir, PLAIN).select("doc_id", show(A.CUES).alias("cues"), show(A.REPORT_CONTEXT).alias("context"), show(A.STRONG_CONTEXT).alias("strong"))
 
 
 _NO_LOOK = {
-    "messenger": "(텔레그램|텔레\\s*@|telegram|카카오톡|카톡|kakao|위챗|wechat|라인\\s*(?:id|아이디))",
+    "messenger": "(텔레그램|텔레\\s*@|telegram|카카오톡|카톡|kakao|위챗|wechat|라인\\s*(?:id|아이디))|(?:^|[^a-z0-9._])(@[a-z0-9_]{3,})",
     "domain": "(?:^|[^a-z0-9@._-])(?:https?://)?((?:[a-z0-9-]+\\.)+(?:com|net|org|kr|io|xyz|top|vip|bet|club|site|online|cc|me|info|biz|app|link|live|win|fun|shop|store|pro|tv))(?:$|[^a-z0-9-])",
     "phone": "(?:^|[^0-9])((?:01[016789]|050\\d?)[-.\\s]?\\d{3,4}[-.\\s]?\\d{4})(?:$|[^0-9])",
-    "short_link": "((?:bit\\.ly|han\\.gl|me2\\.do|vo\\.la|t\\.me)/[\\w-]+)",
+    "short_link": "(?:^|[^a-z0-9.-])((?:https?://)?(?:bit\\.ly|han\\.gl|me2\\.do|vo\\.la|url\\.kr|buly\\.kr|linktr\\.ee|lnk\\.bio|heylink\\.me|tinyurl\\.com|t\\.me|open\\.kakao\\.com)/[\\w-]+)",
 }
 
 
-@query(f"SELECT doc_id, " + ", ".join(f"regexp_extract(t, {sql_text(p)}, 1) AS {n}" for n, p in _NO_LOOK.items()) + f" FROM {_D}")
+@query(
+    "SELECT doc_id, " + ", ".join(f"regexp_extract(t, {sql_text(p)}, 1)" + (f" || regexp_extract(t, {sql_text(p)}, 2)" if n == "messenger" else "") + f" AS {n}" for n, p in _NO_LOOK.items())
+    + f" FROM {_sql_cases(PLAIN)}"
+)
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First contact of each kind in short texts, by the look-around patterns of the gate."""
+    """First contact of each kind in whole texts, by the look-around patterns of the gate."""
     t = F.col("t")
-    return _cases(spark, sf_dir, PLAIN).select(
+    return _whole(spark, sf_dir, PLAIN).select(
         "doc_id",
         F.regexp_extract(t, f"({A.MESSENGER})", 1).alias("messenger"),
         F.regexp_extract(t, A.DOMAIN, 1).alias("domain"),
@@ -208,9 +220,9 @@ def _nullable(values: list[str | None], number: str) -> str:
     return f"([{', '.join('NULL' if v is None else sql_text(v) for v in values)}])[({number} % {len(values)}) + 1]"
 
 
-@query(f"SELECT doc_id, {sql_pick([d[1] for d in DECODES], 'doc_id')} AS decoded FROM documents")
+@query(f"SELECT doc_id, {sql_pick([d[1] for d in DECODES], 'doc_id')} || ' ' || text AS decoded FROM documents")
 def jamo_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.by_distinct(_cases(spark, sf_dir, [d[0] for d in DECODES]), "t", "decoded", decode_udf).select("doc_id", "decoded")
+    return A.by_distinct(_whole(spark, sf_dir, [d[0] for d in DECODES]), "t", "decoded", decode_udf).select("doc_id", "decoded")
 
 
 _SYLLABLE = "chr((44032 + (doc_id * 7919) % 11172)::INTEGER)"
@@ -250,7 +262,7 @@ def _check(name: str, which: int) -> None:
     cases = [c[0] for c in VERDICTS]
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        done = A.by_distinct(_cases(spark, sf_dir, cases), "t", "v", verdict_udf(name))
+        done = A.by_distinct(_whole(spark, sf_dir, cases), "t", "v", verdict_udf(name))
         return done.select("doc_id", F.col("v.hit").cast("int").alias("hit"))
 
     f.__name__ = "detect_" + name.lower()
@@ -282,7 +294,7 @@ def proximity_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ZERO = ["카​지노 가입", "토토 카지노", "바⁠카­라 무료", "plain"]
-_Z = f"(SELECT doc_id, {sql_pick(_ZERO, 'doc_id')} AS t FROM documents)"
+_Z = _sql_cases(_ZERO)
 
 
 @query(
@@ -291,5 +303,5 @@ _Z = f"(SELECT doc_id, {sql_pick(_ZERO, 'doc_id')} AS t FROM documents)"
 def zero_width_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords that only the text without invisible marks holds."""
     words = lambda t: F.transform(F.filter(M.keyword_array(DICT.korean), lambda k: F.contains(t, k["word"])), lambda k: k["word"])
-    df = _cases(spark, sf_dir, _ZERO)
+    df = _whole(spark, sf_dir, _ZERO)
     return df.select("doc_id", F.explode(F.array_except(words(X.strip_zero_width("t")), words(F.col("t")))).alias("word"))
