@@ -208,3 +208,28 @@ def test_pipeline(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     words = sum(len(WORD.findall(r["text"])) for r in out.collect())
     assert rows and words > 0 and {r["doc_id"] for r in rows} == {r["doc_id"] for r in out.collect()}
+
+
+@pytest.mark.parametrize("name", ["odd", "shared", "empty"])
+def test_stages_on_odd_tables(spark, request, name):
+    """Nulls, one id with several texts, null ids, repeated rows, clashing columns: every stage keeps the columns, and packing is whole."""
+    if name == "shared":
+        text = lambda c, n: " ".join(f"{c}{k % 97}x{k}" for k in range(n))
+        rows = [(3, text("a", 90), "s"), (5, text("a", 90), "s"), (5, text("b", 90), "t"), (None, text("c", 60), None), (None, text("d", 60), "t"), (5, text("b", 90), "t"), (None, None, None)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    else:
+        df = request.getfixturevalue(name)
+    out = df
+    for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialise(stage(spark, out, ""), stage_name)
+        assert out.columns == df.columns
+        if name == "shared" and stage_name == "simhash_near_dedup":
+            kept = sorted(((r["doc_id"], r["text"][0]) for r in out.collect()), key=repr)
+            assert kept == [(3, "a"), (5, "b"), (None, "c"), (None, "d")]
+        if name == "shared" and stage_name == "substring_dedup":
+            assert sorted(len(r["text"].split()) for r in out.collect()) == [60, 60, 90, 90]
+    rows = corpus_pipeline.STAGES[-1][1](spark, out, "").collect()
+    used = defaultdict(int)
+    for r in rows:
+        used[r["sequence_id"]] += r["length"]
+    assert all(n <= packing.CAPACITY for n in used.values()) and (len(rows) >= out.count() or name == "empty")
