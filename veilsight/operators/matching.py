@@ -12,6 +12,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, not again for every element that a lambda inside looks at."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def keyword_array(words: tuple[Keyword, ...]) -> Column:
     rows = [
         F.struct(
@@ -24,11 +29,21 @@ def keyword_array(words: tuple[Keyword, ...]) -> Column:
 
 
 def places(text: Column, word: Column) -> Column:
-    """Zero-based starts of all occurrences, overlapping ones too."""
-    last = F.length(text) - F.length(word) + 1
-    return F.when(last >= 1, F.transform(F.filter(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.length(word)) == word), lambda i: i - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
+    """Zero-based starts of all occurrences, overlapping ones too.
+
+    A text is looked at in about as many parts as each has characters, and only parts that hold the word place by place:
+    finding a place in a string costs its distance from the front, so one pass over a long text would be quadratic.
+    """
+    none = F.array().cast("array<int>")
+    step = F.ceil(F.sqrt(F.length(text))).cast("int") + F.length(word)
+    part = lambda a: F.struct(a.alias("at"), F.substring(text, a, step + F.length(word) - 1).alias("t"))
+    parts = F.filter(F.transform(F.sequence(F.lit(1), F.length(text), step), part), lambda p: F.contains(p["t"], word))
+
+    def of(p: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(p["t"]) - F.length(word) + 1)
+        return F.transform(F.filter(starts, lambda i: F.substring(p["t"], i, F.length(word)) == word), lambda i: p["at"] + i - 2)
+
+    return F.when(F.contains(text, word) & (F.length(word) > 0), F.flatten(F.transform(parts, of))).otherwise(none)
 
 
 def scan(text: Column | str, words: Dictionary) -> Column:
@@ -38,26 +53,24 @@ def scan(text: Column | str, words: Dictionary) -> Column:
 
     def of(k: Column) -> Column:
         barred = F.flatten(F.transform(k["excludes"], lambda x: F.transform(places(t, x), lambda p: F.struct(p.alias("a"), (p + F.length(x)).alias("b")))))
-        return F.transform(
-            places(t, k["word"]),
-            lambda p: F.struct(
-                k["kw_id"].alias("kw_id"), k["word"].alias("word"), k["weight"].alias("weight"), p.alias("start"), (p + F.length(k["word"])).alias("end"),
-                F.exists(barred, lambda s: (s["a"] <= p) & (s["b"] >= p + F.length(k["word"]))).alias("excluded"),
-            ),
+        hit = lambda p, spans: F.struct(
+            k["kw_id"].alias("kw_id"), k["word"].alias("word"), k["weight"].alias("weight"), p.alias("start"), (p + F.length(k["word"])).alias("end"),
+            F.exists(spans, lambda s: (s["a"] <= p) & (s["b"] >= p + F.length(k["word"]))).alias("excluded"),
         )
+        return let(barred, lambda spans: F.transform(places(t, k["word"]), lambda p: hit(p, spans)))
 
     return F.flatten(F.transform(present, of))
 
 
 def longest(hits: Column) -> Column:
     """Hits outside excluding phrases that no other hit contains; containment is transitive, so one pass will do."""
-    live = F.filter(hits, lambda h: ~h["excluded"])
-    return F.filter(live, lambda h: ~F.exists(live, lambda o: (o["kw_id"] != h["kw_id"]) & (o["start"] <= h["start"]) & (o["end"] >= h["end"])))
+    inside = lambda h, o: (o["kw_id"] != h["kw_id"]) & (o["start"] <= h["start"]) & (o["end"] >= h["end"])
+    return let(F.filter(hits, lambda h: ~h["excluded"]), lambda live: F.filter(live, lambda h: ~F.exists(live, lambda o: inside(h, o))))
 
 
 def subsume(words: Column) -> Column:
     """Words that are not inside a longer one."""
-    return F.filter(words, lambda w: ~F.exists(words, lambda o: (F.length(o) > F.length(w)) & F.contains(o, w)))
+    return let(words, lambda each: F.filter(each, lambda w: ~F.exists(each, lambda o: (F.length(o) > F.length(w)) & F.contains(o, w))))
 
 
 def present(text: Column | str, vocabulary: list[str]) -> Column:
@@ -87,7 +100,7 @@ def scattered(text: Column | str, words: Dictionary) -> Column:
     """The longest keyword whose jamo stand in a text's single jamo, the earlier one on ties."""
     from ..functions.text import lone_jamo
 
-    j = lone_jamo(text)
-    fit = F.filter(keyword_array(words.korean), lambda k: (F.length(k["jamo"]) >= 4) & F.contains(j, k["jamo"]))
-    best = F.array_max(F.transform(fit, lambda k: F.struct(F.length(k["jamo"]).alias("n"), (-F.instr(j, k["jamo"])).alias("p"), (-k["kw_id"]).alias("i"), k["word"].alias("word"))))
-    return best["word"]
+    long = tuple(k for k in words.korean if len(k.jamo) >= 4)
+    rank = lambda j, k: F.struct(F.length(k["jamo"]).alias("n"), (-F.instr(j, k["jamo"])).alias("p"), (-k["kw_id"]).alias("i"), k["word"].alias("word"))
+    fit = lambda j: F.transform(F.filter(keyword_array(long), lambda k: F.contains(j, k["jamo"])), lambda k: rank(j, k))
+    return let(lone_jamo(text), lambda j: F.array_max(fit(j))["word"])

@@ -17,7 +17,6 @@ from .cases import DECODES, KEYED, PLAIN, VERDICTS
 from .registry import pick, query, sql_pick, sql_text, table
 
 DICT = load()
-_D = f"(SELECT doc_id, {sql_pick(PLAIN, 'doc_id')} AS t FROM documents)"
 _KO = "(VALUES " + ", ".join(f"({k.kw_id}, {sql_text(k.word)}, {k.weight}, {'[' + ', '.join(map(sql_text, k.excludes)) + ']::VARCHAR[]'}, {sql_text(k.jamo)})" for k in DICT.korean) + ") AS k(kw_id, word, weight, excludes, jamo)"
 
 
@@ -25,16 +24,23 @@ def _sql_cases(cases: list[str]) -> str:
     return f"(SELECT doc_id, {sql_pick(cases, 'doc_id')} || ' ' || text AS t FROM documents)"
 
 
+#: Every text is looked at in pieces of this many places, as finding a place in a string costs its distance from the front.
+_STEP = 200
+
+
+def _sql_places(rows: str, word: str) -> str:
+    """Rows with ``s`` and ``e`` for every place of a word in ``t``."""
+    piece = f"substr(t, a, {_STEP - 1} + length({word}))"
+    held = f"SELECT *, {piece} AS piece FROM (SELECT *, unnest(range(1, length(t) + 1, {_STEP})) AS a FROM {rows} WHERE contains(t, {word})) WHERE contains({piece}, {word})"
+    tried = f"SELECT *, unnest(range(1, {_STEP + 1})) AS i FROM ({held})"
+    return f"(SELECT * EXCLUDE (a, i, piece), (a + i - 2)::INTEGER AS s, (a + i - 2 + length({word}))::INTEGER AS e FROM ({tried}) WHERE substr(piece, i, length({word})) = {word})"
+
+
 def _whole(spark: SparkSession, sf_dir: str, cases: list[str]) -> DataFrame:
     """A made-up case before each whole stored text, as those hold no Hangul."""
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(cases, F.col("doc_id")), F.lit(" "), "text").alias("t"))
 
 
-def _cases(spark: SparkSession, sf_dir: str, cases: list[str]) -> DataFrame:
-    """The made-up cases alone."""
-    return table(spark, sf_dir, "documents").select("doc_id", pick(cases, F.col("doc_id")).alias("t"))
-
-
 def _fold(name: str, cases: list[str], column, sql: str) -> None:
     """Folds both a made-up case and the stored text."""
 
@@ -73,19 +79,17 @@ def short_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- dictionary
-_HITS = (
-    f"(SELECT doc_id, t, kw_id, word, weight, (i - 1)::INTEGER AS s, (i - 1 + length(word))::INTEGER AS e, excludes FROM {_D}, {_KO},"
-    " unnest(range(1, length(t) - length(word) + 2)) AS r(i) WHERE contains(t, word) AND substr(t, i, length(word)) = word)"
-)
+_D = _sql_cases(PLAIN)
+_HITS = _sql_places(f"(SELECT * FROM {_D}, {_KO})", "word")
 _LIVE = (
-    f"(SELECT * FROM {_HITS} h WHERE NOT EXISTS (SELECT 1 FROM unnest(h.excludes) AS x(p), unnest(range(1, length(h.t) - length(p) + 2)) AS y(i)"
-    " WHERE substr(h.t, i, length(p)) = p AND i - 1 <= h.s AND i - 1 + length(p) >= h.e))"
+    f"(SELECT * FROM {_HITS} h WHERE NOT EXISTS (SELECT 1 FROM unnest(h.excludes) AS x(p), unnest(range(greatest(1, h.e - length(p) + 1), h.s + 2)) AS y(i)"
+    " WHERE substr(h.t, i, length(p)) = p))"
 )
 _LONGEST = f"(SELECT a.* FROM {_LIVE} a WHERE NOT EXISTS (SELECT 1 FROM {_LIVE} b WHERE b.doc_id = a.doc_id AND b.kw_id <> a.kw_id AND b.s <= a.s AND b.e >= a.e))"
 
 
 def _hits(spark: SparkSession, sf_dir: str, which) -> DataFrame:
-    df = _cases(spark, sf_dir, PLAIN).select("doc_id", F.explode(which(M.scan("t", DICT))).alias("h"))
+    df = _whole(spark, sf_dir, PLAIN).select("doc_id", F.explode(which(M.scan("t", DICT))).alias("h"))
     return df.select("doc_id", "h.word", F.col("h.start").alias("s"), F.col("h.end").alias("e"))
 
 
@@ -107,7 +111,7 @@ def korean_scan_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT a.doc_id, a.word FROM {_LIVE} a WHERE NOT EXISTS (SELECT 1 FROM {_LIVE} b WHERE b.doc_id = a.doc_id AND length(b.word) > length(a.word) AND contains(b.word, a.word))")
 def keyword_subsume(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.transform(F.filter(M.scan("t", DICT), lambda x: ~x["excluded"]), lambda x: x["word"]))
-    return _cases(spark, sf_dir, PLAIN).select("doc_id", F.explode(M.subsume(words)).alias("word"))
+    return _whole(spark, sf_dir, PLAIN).select("doc_id", F.explode(M.subsume(words)).alias("word"))
 
 
 @query("SELECT kw_id, lang, word, weight, category, jamo FROM (VALUES " + ", ".join(f"({k.kw_id}, '{k.lang}', {sql_text(k.word)}, {k.weight}, {sql_text(k.category)}, {sql_text(k.jamo)})" for k in (*DICT.korean, *DICT.latin)) + ") AS k(kw_id, lang, word, weight, category, jamo)")
@@ -163,63 +167,44 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LATIN_ROWS = "(" + " UNION ALL ".join(f"SELECT doc_id, '{k.word}' AS word, {k.weight} AS weight FROM {_D} WHERE {S.has('lower(t)', M.latin_boundary(k.word))}" for k in DICT.latin) + ")"
-_WORDS = f"(SELECT DISTINCT doc_id, word, weight FROM {_LONGEST} UNION SELECT doc_id, word, weight FROM {_LATIN_ROWS})"
-_KEPT = f"(SELECT a.* FROM {_WORDS} a WHERE NOT EXISTS (SELECT 1 FROM {_WORDS} b WHERE b.doc_id = a.doc_id AND length(b.word) > length(a.word) AND contains(b.word, a.word)))"
-_SUMS = f"(SELECT doc_id, sum(weight)::INTEGER AS k, max(weight)::INTEGER AS w, sum(length(word))::INTEGER AS kl FROM {_KEPT} GROUP BY doc_id)"
-_N_CONTACTS = " + ".join(f"CASE WHEN regexp_extract(t, {sql_text(p)}, 1) <> '' THEN 1 ELSE 0 END" for p in _NO_LOOK.values())
-_GATE = (
-    f"(SELECT d.doc_id, t, coalesce(k, 0) AS k, coalesce(w, 0) AS w, coalesce(kl, 0) AS kl, len({_present(A.CUES, 'lower(t)')}) AS cues, {_N_CONTACTS} AS contacts,"
-    f" len({_present(A.REPORT_CONTEXT)}) AS ctx, len({_present(A.STRONG_CONTEXT)}) AS strong, len(regexp_extract_all(t, {sql_text(X.ALNUM)})) AS letters FROM {_D} d LEFT JOIN {_SUMS} s ON d.doc_id = s.doc_id)"
-)
-_SCORE = "(least(k, 9) + CASE WHEN k > 0 THEN least(cues, 2) ELSE 0 END + CASE WHEN contacts > 0 THEN 2 ELSE 0 END)::INTEGER"
-_BLOCKED = f"(contacts = 0 AND (ctx >= 2 OR (ctx = 1 AND {_SCORE} < 5)))"
-
-
+# The gate reads tokens of look-alike letters and what stands near a keyword, in stored text too, which SQL can't say: held against loops in the tests.
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.by_distinct(_cases(spark, sf_dir, PLAIN), "t", "a", A.assess_udf())
+    return A.by_distinct(_whole(spark, sf_dir, PLAIN), "t", "a", A.assess_udf())
 
 
-@query(f"SELECT doc_id, k AS keyword_score, w AS max_weight, {_SCORE} AS score FROM {_GATE}")
+@query()
 def gate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("a")
     return _assessed(spark, sf_dir).select("doc_id", A.keyword_score(a).alias("keyword_score"), A.max_weight(a).alias("max_weight"), A.score(a).alias("score"))
 
 
-@query(f"SELECT doc_id, {_BLOCKED} AS blocked, (w >= 2 AND NOT {_BLOCKED} AND ({_SCORE} >= 3 OR (letters <= 30 AND kl * 10 >= letters * 7))) AS ad_like FROM {_GATE}")
+@query()
 def gate_adlike(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("a")
     return _assessed(spark, sf_dir).select("doc_id", A.blocked(a).alias("blocked"), A.ad_like(a).alias("ad_like"))
 
 
-@query(f"SELECT doc_id, (w >= 2 AND (contacts > 0 OR CASE WHEN w >= 3 THEN strong < 2 ELSE ctx = 0 END)) AS hidden_ad_like FROM {_GATE}")
+@query()
 def gate_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assessed(spark, sf_dir).select("doc_id", A.hidden_ad_like(F.col("a")).alias("hidden_ad_like"))
 
 
-_SPANS = f"(SELECT doc_id, sum(e - s)::INTEGER AS hl FROM (SELECT DISTINCT doc_id, s, e FROM {_LONGEST}) GROUP BY doc_id)"
-
-
-@query(f"SELECT d.doc_id, (length(t) * 20 <= 200 OR coalesce(hl, 0) * 10 >= len(regexp_extract_all(t, {sql_text(X.ALNUM)}))) AS compact FROM {_D} d LEFT JOIN {_SPANS} s ON d.doc_id = s.doc_id WHERE NOT regexp_matches(t, '[a-z]')")
+@query()
 def gate_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _assessed(spark, sf_dir).where(~F.col("t").rlike("[a-z]"))
-    return df.select("doc_id", A.compact(F.col("a"), F.length("t") * 20).alias("compact"))
+    """Whether a text is short or full of keywords."""
+    return _assessed(spark, sf_dir).select("doc_id", A.compact(F.col("a"), F.length("t")).alias("compact"))
 
 
 _SCATTER = ["ㅋ 오늘 ㅏ 날씨 ㅈ 가 ㅣ 참 ㄴ 좋 ㅗ 네", "ㅋㅋㅋ", "ㅌㅗㅌㅗ", "plain", "ㅅ ㅡ ㄹ ㄹ ㅗ ㅅ ㅁㅓㅅㅣㄴ"]
-_SJ = f"(SELECT doc_id, {S.lone_jamo(sql_pick(_SCATTER, 'doc_id'))} AS j FROM documents)"
+_SJ = f"(SELECT doc_id, {S.lone_jamo('t')} AS j FROM {_sql_cases(_SCATTER)})"
 
 
 @query(f"SELECT doc_id, word FROM {_SJ}, {_KO} WHERE length(jamo) >= 4 AND contains(j, jamo) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(jamo) DESC, instr(j, jamo), kw_id) = 1")
 def scattered_jamo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, sf_dir, _SCATTER).select("doc_id", M.scattered("t", DICT).alias("word")).where("word is not null")
+    return _whole(spark, sf_dir, _SCATTER).select("doc_id", M.scattered("t", DICT).alias("word")).where("word is not null")
 
 
 # ---------------------------------------------------------------- kernels
-def _nullable(values: list[str | None], number: str) -> str:
-    return f"([{', '.join('NULL' if v is None else sql_text(v) for v in values)}])[({number} % {len(values)}) + 1]"
-
-
 @query(f"SELECT doc_id, {sql_pick([d[1] for d in DECODES], 'doc_id')} || ' ' || text AS decoded FROM documents")
 def jamo_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.by_distinct(_whole(spark, sf_dir, [d[0] for d in DECODES]), "t", "decoded", decode_udf).select("doc_id", "decoded")
@@ -228,34 +213,38 @@ def jamo_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SYLLABLE = "chr((44032 + (doc_id * 7919) % 11172)::INTEGER)"
 
 
-@query(f"SELECT doc_id, {_SYLLABLE} AS composed FROM documents")
+@query(f"SELECT doc_id, {_SYLLABLE} || ' ' || text AS composed FROM documents")
 def jamo_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each syllable taken apart by arithmetic in the engine, put together by the automaton."""
+    """A syllable taken apart by arithmetic in the engine before each whole text, put together by the automaton."""
     code = (F.col("doc_id") * 7919 % 11172).cast("int")
     at = lambda s, i: F.substring(F.lit(s), i, F.lit(1))
     onset = at(T.ONSETS, F.floor(code / 588).cast("int") + 1)
     nucleus = at(T.NUCLEI, F.floor(code % 588 / 28).cast("int") + 1)
     coda = F.when(code % 28 == 0, "").otherwise(at(T.CODAS, code % 28))
-    jamo = X.lone_jamo(F.concat(onset, nucleus, coda))
+    jamo = F.concat(X.lone_jamo(F.concat(onset, nucleus, coda)), F.lit(" "), "text")
     return A.by_distinct(table(spark, sf_dir, "documents").select("doc_id", jamo.alias("j")), "j", "composed", compose_udf).select("doc_id", "composed")
 
 
-@query(f"SELECT doc_id, {_nullable([k[1] for k in KEYED], 'doc_id')} AS korean FROM documents")
+@query()
 def qwerty_korean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.by_distinct(_cases(spark, sf_dir, [k[0] for k in KEYED]), "t", "korean", keyed_udf).select("doc_id", "korean")
+    """Korean reading of each different word of the whole texts that has one."""
+    df = _whole(spark, sf_dir, [k[0] for k in KEYED])
+    words = df.select("doc_id", F.explode(F.array_distinct(F.split("t", r"[\x20\x09-\x0D]+"))).alias("word"))
+    return A.by_distinct(words, "word", "korean", keyed_udf).where("korean is not null").select("doc_id", "word", "korean")
 
 
-@query(f"SELECT doc_id, {sql_pick(['casino 777', 'casino', 'plain', 'casino', 'A-B_C'], 'doc_id')} AS folded FROM documents")
+@query()
 def fold_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.by_distinct(_cases(spark, sf_dir, _WIDE), "t", "folded", fold_udf).select("doc_id", "folded")
+    return A.by_distinct(_whole(spark, sf_dir, _WIDE), "t", "folded", fold_udf).select("doc_id", "folded")
 
 
-_LATTICE = ["с.а.s.і.n.о", "ＢＥＴ365", "alphabet", "c4sino", "Привет", "bet365 c@sino", "no"]
+LATTICE = ["с.а.s.і.n.о", "ＢＥＴ365", "alphabet", "c4sino", "Привет", "bet365 c@sino", "no"]
 
 
-@query(f"SELECT doc_id, {sql_pick(['casino', 'bet', '', 'casino', '', 'casino,bet', ''], 'doc_id')} AS words FROM documents")
+@query()
 def latin_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.by_distinct(_cases(spark, sf_dir, _LATTICE), "t", "words", latin_udf()).select("doc_id", "words")
+    """Latin keywords that tokens of whole texts can be read as."""
+    return A.by_distinct(_whole(spark, sf_dir, LATTICE), "t", "words", latin_udf()).select("doc_id", "words")
 
 
 def _check(name: str, which: int) -> None:
@@ -276,20 +265,21 @@ for _k, _name in enumerate(TEXT_CHECKS):
 
 # ---------------------------------------------------------------- positions
 _FAR = ["카지노 " + "가나다라마바사아자차 " * n + tail for n, tail in ((1, "무료 쿠폰"), (2, "무료 쿠폰"), (4, "무료 쿠폰"), (9, "이벤트 토토"), (0, "vip"))]
-_W = f"(SELECT doc_id, {sql_pick(_FAR, 'doc_id')} AS t FROM documents)"
-_FAR_HITS = f"(SELECT doc_id, (i - 1)::INTEGER AS s, (i - 1 + length(word))::INTEGER AS e FROM {_W}, {_KO}, unnest(range(1, length(t) - length(word) + 2)) AS r(i) WHERE word IN ('카지노', '토토') AND substr(t, i, length(word)) = word)"
+_W = _sql_cases(_FAR)
+_FAR_HITS = _sql_places(f"(SELECT * FROM {_W}, {_KO} WHERE word IN ('카지노', '토토'))", "word")
 
 
 @query(
-    f"SELECT DISTINCT w.doc_id, cue FROM {_W} w, unnest({_array(A.CUES)}) AS c(cue), unnest(range(1, length(t) - length(cue) + 2)) AS r(i) JOIN {_FAR_HITS} h ON h.doc_id = w.doc_id"
-    " WHERE substr(t, i, length(cue)) = cue AND i - 1 <= h.e + 30 AND i - 1 + length(cue) >= h.s - 30"
+    f"SELECT DISTINCT h.doc_id, cue FROM {_FAR_HITS} h, unnest({_array(A.CUES)}) AS c(cue), unnest(range(greatest(1, h.s - 29 - length(cue)), h.e + 32)) AS r(i)"
+    " WHERE substr(h.t, i, length(cue)) = cue AND i - 1 <= h.e + 30 AND i - 1 + length(cue) >= h.s - 30"
 )
 def proximity_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues within thirty characters of a keyword."""
-    df = _cases(spark, sf_dir, _FAR).select("doc_id", "t", M.longest(M.scan("t", DICT)).alias("hits"))
-    near = F.filter(
-        F.array(*map(F.lit, A.CUES)), lambda c: F.exists(M.places(F.col("t"), c), lambda p: M.near(F.col("hits"), p, p + F.length(c), A.NEAR))
+    df = _whole(spark, sf_dir, _FAR).select("doc_id", "t", M.longest(M.scan("t", DICT)).alias("hits"))
+    by = lambda hits: F.filter(
+        F.array(*map(F.lit, A.CUES)), lambda c: F.exists(M.places(F.col("t"), c), lambda p: M.near(hits, p, p + F.length(c), A.NEAR))
     )
+    near = M.let(F.col("hits"), by)
     return df.select("doc_id", F.explode(near).alias("cue"))
 
 
@@ -304,4 +294,4 @@ def zero_width_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords that only the text without invisible marks holds."""
     words = lambda t: F.transform(F.filter(M.keyword_array(DICT.korean), lambda k: F.contains(t, k["word"])), lambda k: k["word"])
     df = _whole(spark, sf_dir, _ZERO)
-    return df.select("doc_id", F.explode(F.array_except(words(X.strip_zero_width("t")), words(F.col("t")))).alias("word"))
+    return df.select("doc_id", F.explode(F.array_except(M.let(X.strip_zero_width("t"), words), words(F.col("t")))).alias("word"))
