@@ -30,6 +30,11 @@ def test_hiding():
     assert one("visibility:hidden") == {"vis"}
     assert one("overflow:hidden;height:1px") == {"clip"}
     assert one("color:red") == set()
+    assert one("color:transparent;-webkit-text-stroke:1px red") == set() and one("color:#fff;-webkit-text-stroke-width:2px") == set()
+    assert one("color:transparent;-webkit-text-stroke:0 red") == {"ca"}
+    assert one("color:transparent;background:#000 url(x.png);-webkit-background-clip:text") == set()
+    assert one("color:transparent;background:linear-gradient(red,blue) text") == set()
+    assert one("-webkit-text-fill-color:transparent;background-clip:text;opacity:0.01") == {"op"}
 
 
 def test_cascade():

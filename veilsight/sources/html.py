@@ -33,7 +33,7 @@ BLOCK = frozenset("address article aside blockquote div dl fieldset footer form
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 COLOURS = {"black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff", "gray": "#808080", "yellow": "#ffff00"}
-INHERITED = ("color", "font-size", "visibility", "text-indent", "-webkit-text-fill-color", "text-shadow")
+INHERITED = ("color", "font-size", "visibility", "text-indent", "-webkit-text-fill-color", "-webkit-text-stroke-width", "text-shadow")
 MENU = re.compile(r"(?:^|[\s_-])(gnb|lnb|snb|allmenu|sitemap|submenu|mega|depth[23]|[23]depth)(?=$|[\s_-]|\d)", re.I)
 JUMP = re.compile(r"""(?:location(?:\.href)?\s*=\s*|location\.(?:assign|replace)\(\s*|window\.open\(\s*)['"]([^'"]+)['"]""")
 NO_LINK = re.compile(r"^(javascript|mailto|tel|sms|data|blob|about):", re.I)
@@ -161,6 +161,10 @@ def declarations(css: str) -> dict[str, str]:
                 out["background-color"] = next((p for p in re.findall(r"rgba?\([^)]*\)|#[0-9a-f]+|[a-z]+", value) if colour(p)), "")
                 if "url(" in value or "gradient(" in value:
                     out["background-image"] = "url"
+                if "text" in value.split():
+                    out["background-clip"] = "text"
+            elif name == "-webkit-text-stroke":
+                out["-webkit-text-stroke-width"] = next((p for p in value.split() if length(p, 16.0) is not None), "1px" if value not in ("", "0", "none") else "0")
     return out
 
 
@@ -305,6 +309,11 @@ def _looks(tree: Tree, css: str) -> list[Look]:
     return out
 
 
+def _text_clips(e: Element) -> bool:
+    """Whether the letters show the background of the element or of one around it."""
+    return any(a.style.get(k) == "text" for a in (e, *e.ancestors()) for k in ("background-clip", "-webkit-background-clip"))
+
+
 # ---------------------------------------------------------------- selectors
 def _segment(e: Element) -> str:
     classes = [c for c in e.classes if SAFE_CLASS.match(c)]
@@ -458,7 +467,7 @@ def snapshot(html: str, css: str = "") -> dict:
             chain = (e, *e.ancestors())
             r = next((a for a in chain if look[a.number].opacity <= OPACITY), None) or next((a for a in chain if look[a.number].opacity < 1), e)
             found(op={"v": k.total, "r": root(r), "how": None})
-        if e.style.get("text-shadow", "none") == "none":
+        if e.style.get("text-shadow", "none") == "none" and not (length(e.style.get("-webkit-text-stroke-width", ""), k.font) or 0) > 0 and not _text_clips(e):
             if k.fg[3] <= ALPHA:
                 r = _climb(e, body, lambda a: look[a.number].colours == k.colours)
                 found(ca={"v": k.fg[3], "r": root(r), "how": "-webkit-text-fill-color" if e.style.get("-webkit-text-fill-color") else "color"})
