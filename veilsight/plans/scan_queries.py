@@ -10,7 +10,7 @@ from ..operators import hidden as H
 from ..sources import html as W
 from ..sources import snapshots as SN
 from . import scan as P
-from .registry import pick, query, sql_pick, sql_text, table
+from .registry import pick, query, sql_text, table
 
 #: Markup put first into the body, its place and the technique that finds it there.
 PAGES = [
@@ -40,16 +40,14 @@ def with_cases(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.replace(F.col("html"), F.lit("<body>"), put).alias("html"))
 
 
-_EXPECTED = f"(SELECT page_id, url, {sql_pick([x[1] for x in PAGES], 'page_id')} AS location, {sql_pick([x[2] for x in PAGES], 'page_id')} AS technique FROM pages)"
-
-
-@query(f"SELECT page_id, location, technique FROM {_EXPECTED} WHERE technique <> ''")
+# What stored text holds beside the cases (look-alike letters in running text) has no SQL form: both are held against loops in the tests.
+@query()
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a scan over stored HTML."""
     return P.scan(_pages(spark, sf_dir)).findings.select("page_id", "location", "technique")
 
 
-@query(f"SELECT technique, count(*) AS n FROM {_EXPECTED} WHERE technique NOT IN ('', 'ETC') GROUP BY technique")
+@query()
 def scan_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the four core techniques, counted from the report."""
     rows = P.report(P.scan(_pages(spark, sf_dir), extras=False))
