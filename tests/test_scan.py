@@ -106,3 +106,48 @@ def test_scan_finds_every_case(spark, folder, expected):
 def test_report_against_loops(spark, folder, expected):
     want = Counter(w[2] for w in expected[0] if w[2] != "ETC")
     assert {r["technique"]: r["n"] for r in QUERIES["scan_core"](spark, folder).collect()} == want
+
+
+def test_evaluation_against_loops(spark, folder, expected):
+    want, pages = expected
+    case = {p["page_id"]: Q.PAGES[p["page_id"] % len(Q.PAGES)][1:] for p in pages}
+    right, wrong = Counter(), Counter()
+    for page, location, technique, _ in want:
+        (right if (location, technique) == case[page] else wrong)[technique] += 1
+    missed = Counter(t for page, (location, t) in case.items() if t and (page, location, t) not in {w[:3] for w in want})
+    for count in (right, wrong, missed):
+        count["TOTAL"] = sum(n for t, n in count.items() if t != "ETC")
+    got = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in QUERIES["eval_scan"](spark, folder).collect()}
+    assert got == {t: (right[t], wrong[t], missed[t]) for t in (*{k for c in (right, wrong, missed) for k, n in c.items() if n}, "TOTAL")}
+    assert wrong["HOMOGLYPH"] >= 1 and right["TOTAL"] >= 25
+
+
+def test_evaluation_of_marks_in_frames(spark):
+    """A right finding, one in two pages' frame, a wrong one, one that is known to be wrong, a missed one, two marks of one element."""
+    from pyspark.sql import functions as F
+
+    from veilsight.operators import evaluate as E
+    from veilsight.plans import scan
+
+    ad, plain = "온라인카지노 가입 문의", "오늘의 공지 사항"
+    hidden = lambda text, mark, name: f'<div class="{name}" style="display:none" {mark}>{text}</div>'
+    inner = hidden(ad, 'data-expect=OFFSCREEN', "w")
+    whole = [
+        (1, "http://e.com/1", "<body>" + hidden(ad, "data-expect='OFFSCREEN JAMO'", "a") + '<iframe src="/w"></iframe></body>'),
+        (2, "http://e.com/2", "<body>" + hidden(ad, "", "b") + '<p data-known-fp="x"><b class="c" style="opacity:0">토토사이트 추천</b></p><iframe src="/w"></iframe></body>'),
+        (3, "http://e.com/3", "<body>" + hidden(plain, "data-expect-extra=CLIPPED", "d") + f'<iframe srcdoc=\'<p class="z" style="visibility:hidden" data-expect-extra="VISIBILITY_HIDDEN">{ad}</p>\'></iframe></body>'),
+        (9, "http://e.com/w", f"<body>{inner}</body>"),
+    ]
+    pages = spark.createDataFrame(whole, "page_id long, url string, html string")
+    got = Counter(tuple(r) for r in scan.judged(pages, alone=F.col("page_id") < 9).collect())
+    assert got == Counter(
+        {
+            (1, "OFFSCREEN", "tp"): 2, (1, "JAMO", "fn"): 1, (2, "OFFSCREEN", "tp"): 1, (2, "OFFSCREEN", "fp"): 1, (2, "TRANSPARENT", "known_fp"): 1,
+            (3, "ETC:CLIPPED", "fn"): 1, (3, "ETC:VISIBILITY_HIDDEN", "tp"): 1,
+        }
+    )
+    named = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in E.metrics(scan.judged(pages, alone=F.col("page_id") < 9)).collect()}
+    assert named["ETC"] == (1, 0, 1) and named["TOTAL"] == (3, 2, 1)
+    odd = spark.createDataFrame([(1, p, "OFFSCREEN", None, k) for k, p in enumerate(["body > div.q", "div", "nothing >>> div", 'iframe[src="http://e.com/w"] >>> body > div.w'])], "page_id long, location string, technique string, extra_type string, arrival int")
+    frames = W.read_frames(pages)
+    assert {r["arrival"]: r["matches"] for r in E.located(odd, frames, pages).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}

@@ -6,10 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import disguise, findings, hidden
+from ..operators import disguise, evaluate, findings, hidden
 from ..operators.verdicts import TEXT_CHECKS
 from ..sources import html as html_source
 from ..sources.tables import stored
@@ -75,3 +75,14 @@ def report(result: ScanResult) -> DataFrame:
     for technique, name in findings.LABELS.items():
         label = F.when(F.col("technique") == technique, name).otherwise(label)
     return rows.select("id", findings.report_key().alias("review_key"), "url", "location", "technique", label.alias("technique_label"), F.col("extra_type").alias("extra_finding"), "evidence_text", "decoded", "method", "reasons", "keywords", "shared_pages", findings.action().alias("action"))
+
+
+def judged(pages: DataFrame, css: str = "", extras: bool = True, folder: str | None = None, alone: Column | None = None) -> DataFrame:
+    """``page, label, outcome`` of a scan over pages that carry marks; ``alone`` tells pages that count by themselves, not only in frames."""
+    frames = html_source.read_frames(pages, css)
+    found = scan_tables(*html_source.tables(frames), extras=extras, folder=folder).findings
+    counted = pages if alone is None else pages.where(alone)
+    mine = lambda df: df.join(counted.select("page_id"), "page_id", "left_semi")
+    arrival = F.struct("location", "technique", "extra_type").alias("arrival")
+    said = evaluate.located(mine(found).select("page_id", "location", "technique", "extra_type", arrival), frames, pages)
+    return evaluate.judge(said, evaluate.expected(mine(frames)))

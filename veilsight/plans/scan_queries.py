@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluate as E
 from ..operators import hidden as H
 from ..sources import html as W
 from ..sources import snapshots as SN
@@ -35,8 +36,19 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cases(table(spark, sf_dir, "pages"))
 
 
-def with_cases(pages: DataFrame) -> DataFrame:
-    put = F.concat(F.lit("<body>"), pick([x[0] for x in PAGES], F.col("page_id")))
+#: Names of the extra types of the cases that have one.
+EXTRA_OF = {"x9": "VISIBILITY_HIDDEN", "xc": "KEYBOARD_LAYOUT", "xd": "CLIPPED"}
+
+
+def marked(markup: str, technique: str) -> str:
+    """A case that says what should be found in it."""
+    name = markup.partition('class="')[2].partition('"')[0]
+    mark = f'data-expect-extra="{EXTRA_OF[name]}"' if technique == "ETC" else f'data-expect="{technique}"'
+    return markup.replace("class=", f"{mark} class=", 1) if technique else markup
+
+
+def with_cases(pages: DataFrame, marks: bool = False) -> DataFrame:
+    put = F.concat(F.lit("<body>"), pick([marked(x[0], x[2]) if marks else x[0] for x in PAGES], F.col("page_id")))
     return pages.select("page_id", "url", F.replace(F.col("html"), F.lit("<body>"), put).alias("html"))
 
 
@@ -54,6 +66,13 @@ def scan_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("technique").agg(F.count("id").alias("n"))
 
 
+@query()
+def eval_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of a scan of pages that say where something should be found."""
+    rows = E.metrics(P.judged(with_cases(table(spark, sf_dir, "pages"), marks=True)))
+    return rows.select("label", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
 _TEXTS = ["토토사이트 추천 안전놀이터", "경찰 단속 검거 카지노사이트", "도서관 휴관 안내", "성인용품 할인 카톡 abc", "바카라 이벤트"]
 _HIT = [1, 0, 0, 1, 1]
 

@@ -9,6 +9,7 @@ reads those that hide text, with hex, ``rgb()`` and a few named colours.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -349,6 +350,38 @@ def selector(tree: Tree, e: Element) -> str | None:
     return None
 
 
+def lookup(tree: Tree, path: str) -> list[Element]:
+    """The elements that a path of child steps leads to, wherever it begins."""
+    *outer, last = path.split(" > ")
+
+    def fits(e: Element) -> bool:
+        if not _matches(e, last):
+            return False
+        for step in reversed(outer):
+            e = e.parent
+            if e is None or not _matches(e, step):
+                return False
+        return True
+
+    return [e for e in tree.elements if fits(e)]
+
+
+def marks(tree: Tree) -> list[dict]:
+    """What a page says should be found: elements with the techniques in ``data-expect`` and the extra types in ``data-expect-extra``."""
+    said = lambda e, name: e.attrs.get(name, "").split()
+    each = [(e.number, said(e, "data-expect") + ["ETC:" + x for x in said(e, "data-expect-extra")]) for e in tree.elements]
+    return [{"e": n, "labels": list(dict.fromkeys(found))} for n, found in each if found]
+
+
+def trees(html: str) -> Iterator[Tree]:
+    """The page and its inline frames, in the order of ``frames``."""
+    todo = [html]
+    while todo:
+        tree = Tree(todo.pop(0))
+        yield tree
+        todo += [e.attrs["srcdoc"] for e in tree.elements if e.tag in ("iframe", "frame") and "srcdoc" in e.attrs]
+
+
 # ---------------------------------------------------------------- links
 def links(tree: Tree, base: str) -> list[str]:
     """Absolute links in order: anchors, ``onclick``, ``data-`` attributes, refreshes, jumps in scripts."""
@@ -503,7 +536,7 @@ def frames(html: str, url: str, css: str = "") -> list[dict]:
     def visit(text: str, prefix: str) -> None:
         snap = snapshot(text, css)
         tree = snap.pop("tree")
-        snap |= {"frame_id": len(out), "prefix": prefix, "links": links(tree, url), "srcs": []}
+        snap |= {"frame_id": len(out), "prefix": prefix, "links": links(tree, url), "marks": marks(tree), "srcs": []}
         out.append(snap)
         inner = [e for e in tree.elements if e.tag in ("iframe", "frame")]
         addresses = [urljoin(url, e.attrs["src"]) for e in inner if e.attrs.get("src")]
@@ -526,7 +559,7 @@ FRAME = (
     f"holders:array<struct<e:int,t:string,f:string,ph:int,dn:int,fs:{_VALUE},off:struct<r:int,how:string,indent:boolean,x:double,y:double>,op:{_VALUE},ca:{_VALUE},"
     "sc:struct<v:double,r:int,fg:string,bg:string>,vis:int,clip:int,clipHow:string,anc:array<int>>>,"
     "roots:array<struct<e:int,t:string,n:int,d:int,p:int,m:int,anc:array<int>>>,selectors:array<struct<e:int,location:string>>,"
-    "links:array<string>,srcs:array<struct<src:string,prefix:string>>>"
+    "links:array<string>,marks:array<struct<e:int,labels:array<string>>>,srcs:array<struct<src:string,prefix:string>>>"
 )
 
 
@@ -546,16 +579,18 @@ def frames_udf(css: str = ""):
 
 
 def read_frames(pages: DataFrame, css: str = "") -> DataFrame:
-    """``page_id, url, frame_id, prefix, truncated, holders, roots, selectors, links``: all frames of stored pages.
+    """``page_id, url, frame_id, prefix, truncated, holders, roots, selectors, links, marks``: all frames of stored pages,
+    with the page that holds each (``origin``) and its number among the inline frames there (``inner``).
 
     Frames with a source are found among the stored pages by their address (of several pages with one
     address, the one with the smallest ``page_id``), level by level until none is left. A page that stands
     in its own frames is not opened again below itself.
     """
     whole = spread(pages.select("page_id", "url", "html")).select("page_id", "url", F.explode(frames_udf(css)("html", "url")).alias("f")).select("page_id", "url", "f.*")
+    whole = whole.withColumn("origin", F.col("page_id")).withColumn("inner", F.col("frame_id"))
     whole = stored(whole.withColumn("k", U.key("url")), "frames")  # parsed once, though the levels of frames below read it again
     first = whole.groupBy("k").agg(F.min("page_id").alias("page_id"))
-    held = ("frame_id", "prefix", "truncated", "holders", "roots", "selectors", "links", "srcs")
+    held = ("frame_id", "prefix", "truncated", "holders", "roots", "selectors", "links", "marks", "srcs", "origin", "inner")
     known = whole.join(first, ["k", "page_id"]).select("k", *[F.col(c).alias(f"in_{c}") for c in held])
     last = whole.withColumn("path", F.col("frame_id").cast("string")).withColumn("above", F.array("k")).withColumn("outer", F.lit("")).drop("k")
     out, columns = last, last.columns
