@@ -13,7 +13,7 @@ from .functions import urls as U
 from .operators import findings
 from .operators.crawl import EXIT_CODES
 from .operators.frontier import in_scope
-from .plans import scan
+from .plans import run, scan
 from .sources import sinks
 from .sources.tables import release
 
@@ -27,6 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", default="out")
     p.add_argument("--css", help="style sheet that all pages use")
     p.add_argument("--max-pages", type=int)
+    p.add_argument("--minutes", type=float, help="end within this time, with what has been judged by then")
     p.add_argument("--no-extra", action="store_true")
     p.add_argument("--dictionary", help="folder with keyword files")
     p.add_argument("--topic", default="")
@@ -44,14 +45,16 @@ def main(argv: list[str] | None = None) -> int:
     if a.max_pages is not None:
         pages = pages.orderBy("page_id").limit(a.max_pages)
     css = open(a.css, encoding="utf-8").read() if a.css else ""
-    result = scan.scan(pages, css, not a.no_extra, a.dictionary)
-    rows = scan.report(result)
+    done = run.run(pages, css, not a.no_extra, a.dictionary, a.minutes)
+    rows = scan.report(done.result) if done.result else None
     head = sinks.meta(a.topic, a.entry, started, datetime.now(timezone.utc).astimezone(), VERSION)
-    sinks.write_results(rows, a.out, head, run={"status": "COMPLETED"}, review=sinks.open_review(a.out), extras=not a.no_extra)
+    sinks.write_results(rows, a.out, head, run=done.head(), review=sinks.open_review(a.out), extras=not a.no_extra)
     if not a.quiet:
-        print("\n".join(sinks.summary_lines(findings.summary(result.findings))))
+        print(f"{done.status} {done.message}".strip())
+        if done.result:
+            print("\n".join(sinks.summary_lines(findings.summary(done.result.findings))))
     release()
-    return EXIT_CODES["COMPLETED"]
+    return done.exit_code
 
 
 if __name__ == "__main__":

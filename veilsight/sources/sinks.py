@@ -43,9 +43,9 @@ def meta(topic: str, entry_url: str, started: datetime, finished: datetime, vers
     }
 
 
-def in_order(rows: DataFrame) -> list[dict]:
-    """Report rows of one site in the order of their numbers, core before extra."""
-    got = [r.asDict(recursive=True) for r in rows.toLocalIterator()]
+def in_order(rows: DataFrame | None) -> list[dict]:
+    """Report rows of one site in the order of their numbers, core before extra; none for none."""
+    got = [r.asDict(recursive=True) for r in rows.toLocalIterator()] if rows is not None else []
     return sorted(got, key=lambda r: (r["technique"] == "ETC", int(r["id"][2:])))
 
 
@@ -72,7 +72,7 @@ def report_html(report: str) -> str:
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>report</title></head><body><script type="application/json" id="data">{data}</script></body></html>\n'
 
 
-def write_results(report_rows: DataFrame, folder: str, head: dict, run: dict | None = None, review: dict | None = None, extras: bool = True) -> list[str]:
+def write_results(report_rows: DataFrame | None, folder: str, head: dict, run: dict | None = None, review: dict | None = None, extras: bool = True) -> list[str]:
     """All files of a run; a folder that can't be written is an error of its own."""
     os.makedirs(folder, exist_ok=True)
     rows = in_order(report_rows)

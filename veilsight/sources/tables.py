@@ -50,8 +50,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The table goes with ``release``, or when the program ends.
     """
     path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append((threading.get_ident(), df.sparkSession, path))  # first, so that what a failed write leaves goes too
     df.write.parquet(path)
-    _made.append((threading.get_ident(), df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
