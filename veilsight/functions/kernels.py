@@ -7,8 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
-from itertools import groupby
+from functools import cached_property
 from typing import NamedTuple
 
 import regex
@@ -26,6 +25,10 @@ _ZERO_WIDTH = str.maketrans("", "", T.ZERO_WIDTH)
 _SPACE = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2028\u2029\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B) if c != 0x2007}
 
 
+_BLANK = "".join(sorted(_SPACE))
+_BLANK_OR_WORD = regex.compile(f"([{_BLANK}]+)|[^{_BLANK}]+")
+_AFTER_ALNUM = regex.compile(r"(?r)[\p{L}\p{Nd}]")
+_ANY_JAMO = regex.compile("[ㄱ-ㅣ" + "".join(T.JAMO_FORMS) + "]")
 _HANGUL = regex.compile("[가-힣ㄱ-ㅣ" + "".join(T.JAMO_FORMS) + "]")
 
 
@@ -122,11 +125,13 @@ def compose(jamo: str) -> str:
 
 def _read_looks(text: str) -> str:
     """All jamo as compatibility jamo, and signs beside them as the jamo they look like, onwards then backwards."""
-    chars = list(unicodedata.normalize("NFC", text))
+    text = unicodedata.normalize("NFC", text)
+    if not _ANY_JAMO.search(text):
+        return text
+    chars = list(text)
     real = [False] * (len(chars) + 2)  # one place beyond each end, so that -1 is not the last
-    for i, c in enumerate(chars):
-        if j := compat_jamo(c):
-            chars[i], real[i] = j, True
+    for m in _ANY_JAMO.finditer(text):
+        chars[m.start()], real[m.start()] = compat_jamo(m.group()), True
     for order in (range(len(chars)), range(len(chars) - 1, -1, -1)):
         for i in order:
             if not real[i] and chars[i] in T.LOOKS and (real[i - 1] or real[i + 1]):
@@ -174,7 +179,7 @@ def syllables(text: str) -> int:
 
 
 def has_jamo(text: str) -> bool:
-    return any(map(compat_jamo, text))
+    return _ANY_JAMO.search(text) is not None
 
 
 def key_word_korean(word: str) -> str | None:
@@ -227,18 +232,24 @@ def jamo_units(text: str) -> list[Unit]:
         if units and units[-1].kind != "B":
             units.append(_BARRIER)
 
-    for blank, group in groupby(enumerate(text), lambda x: x[1] in _SPACE):
-        token = list(group)
-        if blank:
-            gap += len(token)
+    for m in _BLANK_OR_WORD.finditer(text):
+        word = m.group()
+        if m.group(1):
+            gap += len(word)
+            continue
+        if not has_hangul(word):  # its letters bar, whatever they are; what follows the last one is a gap
+            if last := _AFTER_ALNUM.search(word):
+                bar()
+                gap = len(word) - last.end()
+            else:
+                gap += len(word)
             continue
-        hangul = any(is_syllable(c) or compat_jamo(c) for _, c in token)
-        for at, c in token:
+        for at, c in enumerate(word, m.start()):
             if is_syllable(c):
                 put(syllable_parts(c), "S", at)
             elif j := compat_jamo(c):
                 put(T.SPLIT.get(j, j), "J", at)
-            elif hangul and c in T.LOOKS:
+            elif c in T.LOOKS:
                 if gap > 3:
                     bar()
                 gap = 0
@@ -302,7 +313,6 @@ class Cell(NamedTuple):
     raw: str
 
 
-@lru_cache(maxsize=1 << 14)
 def _classify(c: str) -> tuple[str, str] | None:
     if c.isascii():
         if c.isalpha():
@@ -323,20 +333,41 @@ def _classify(c: str) -> tuple[str, str] | None:
     return None
 
 
+class _Kinds(dict):
+    def __missing__(self, c: str) -> tuple[str, str] | None:
+        self[c] = found = _classify(c)
+        return found
+
+
+_KINDS = _Kinds()
+
+
 @dataclass
 class Token:
     start: int
     end: int
-    cells: list[Cell]
+    raw: str
+
+    @cached_property
+    def cells(self) -> list[Cell]:
+        return [Cell(*_KINDS[c], k, c) for k, c in enumerate(self.raw, self.start)]
 
     @cached_property
     def letters(self) -> frozenset[str]:
         """Every letter that some cell may be."""
-        return frozenset("".join([c.cands for c in self.cells]))
+        return frozenset("".join([_KINDS[c][0] for c in self.raw]))
 
     @cached_property
     def kinds(self) -> str:
-        return "".join([c.kind for c in self.cells])
+        return "".join([_KINDS[c][1] for c in self.raw])
+
+    def may_hold(self, keywords):
+        """Those keywords whose letters all occur, in one piece if nothing is disguised."""
+        if self.raw.isascii() and self.raw.isalpha():
+            low = self.raw.lower()
+            return [k for k in keywords if k.word in low]
+        n, has = len(self.raw), self.letters.issuperset
+        return [k for k in keywords if len(k.word) <= n and has(k.word)]
 
     def count(self, kinds: str) -> int:
         return sum(map(self.kinds.count, kinds))
@@ -356,25 +387,29 @@ class Found(NamedTuple):
 
 def latin_tokens(text: str) -> list[Token]:
     """Runs of characters that can be read as Latin, without separators at their ends."""
-    cells = [(k, c, _classify(c)) for k, c in enumerate(text)]
-    out = []
-    for some, group in groupby(cells, lambda x: x[2] is not None):
-        if not some:
+    kinds = [_KINDS[c] for c in text]
+    out, n, at = [], len(kinds), 0
+    while at < n:
+        if kinds[at] is None:
+            at += 1
             continue
-        run = [Cell(*kind, k, c) for k, c, kind in group]
-        end = run[-1].src + 1
-        while run and run[0].kind == "-":
-            run.pop(0)
-        while run and run[-1].kind == "-":
-            run.pop()
-        if run:
-            out.append(Token(run[0].src, end, run))
+        start = at
+        while at < n and kinds[at] is not None:
+            at += 1
+        end = at
+        while start < at and kinds[start][1] == "-":
+            start += 1
+        last = at
+        while last > start and kinds[last - 1][1] == "-":
+            last -= 1
+        if start < last:
+            out.append(Token(start, end, text[start:last]))
     return out
 
 
 def latin_find(token: Token, word: str) -> list[Found]:
     """Places of a keyword in a token; separators are passed over, short words need edges."""
-    if len(word) > len(token.cells) or not token.letters.issuperset(word):
+    if len(word) > len(token.raw) or not token.letters.issuperset(word):
         return []
     cells = token.cells
     solid = [k for k, c in enumerate(cells) if c.kind != "-"]

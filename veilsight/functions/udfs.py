@@ -42,7 +42,8 @@ def latin_udf(folder: str | None = None):
 
     def found(text: str) -> str:
         tokens = K.latin_tokens(text)
-        return ",".join(k.word for k in words.latin if any(K.latin_find(t, k.word) for t in tokens))
+        held = {k.word for t in tokens for k in t.may_hold(words.latin) if K.latin_find(t, k.word)}
+        return ",".join(k.word for k in words.latin if k.word in held)
 
     @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
