@@ -3,6 +3,7 @@
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,26 @@ def test_keyboard_words_of_whole_texts(spark, sf, stored):
     assert len(got) == len(set(got)) and set(got) == want
     said = {(w, k) for _, w, k in got}
     assert said >= {(w, k) for w, k in KEYED if k}
+
+
+def slow_align(text):
+    fold = lambda s: s.translate(K.T.FUZZY)
+    units = K.jamo_units(text)
+    for k in WORDS.korean:
+        n = len(k.jamo)
+        for at in range(len(units) - n + 1):
+            span = units[at : at + n]
+            if not n or span[0].kind == "S" and not span[0].first or span[-1].kind == "S" and not span[-1].last:
+                continue
+            off = [u for u, c in zip(span, k.jamo) if c not in u.cands]
+            like = all(u.kind not in "SB" and fold(c) in fold(u.cands) for u, c in zip(span, k.jamo) if c not in u.cands)
+            if not off or len(off) == 1 and n >= 5 and like:
+                kinds = "".join(u.kind for u in span)
+                yield k.word, span[0].src, span[-1].src + 1, kinds.count("J"), kinds.count("L"), kinds.count("S"), len(off)
+
+
+def test_alignment_over_whole_texts(spark, sf, stored):
+    texts = stored(Q.ALIGN)
+    want = Counter((i, *m) for i, t in texts.items() for m in slow_align(t))
+    assert Counter(tuple(r) for r in QUERIES["jamo_align"](spark, sf).collect()) == want
+    assert {(i % len(Q.ALIGN), m) for i, m, *_ in want} >= {(0, "카지노"), (1, "카지노"), (2, "바카라"), (4, "카지노"), (5, "카지노")}

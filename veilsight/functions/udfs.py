@@ -52,6 +52,27 @@ def latin_udf(folder: str | None = None):
     return run
 
 
+ALIGNED = "array<struct<word:string,start:int,end:int,jamo:int,look:int,syl:int,fuzzy:int>>"
+
+
+def align_udf(folder: str | None = None):
+    """Places where the jamo of Korean keywords stand, as spelled or with one like jamo, and how they are written there."""
+    words = load(folder)
+    keywords = words.jamo()
+
+    def found(text: str) -> list[dict]:
+        each = K.align(K.jamo_units(text), keywords, True) if K.has_hangul(text) else []
+        return [
+            {"word": words.korean[m.keyword].word, "start": m.src_start, "end": m.src_end, "jamo": m.jamo, "look": m.look, "syl": m.syl, "fuzzy": m.fuzzy} for m in each
+        ]
+
+    @F.pandas_udf(ALIGNED)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(found, na_action="ignore")
+
+    return run
+
+
 def register_udfs(spark: SparkSession, folder: str | None = None) -> None:
     """Makes the kernels available to SQL under ``veil_`` names."""
     from ..operators.assess import assess_udf
@@ -60,6 +81,7 @@ def register_udfs(spark: SparkSession, folder: str | None = None) -> None:
     for name, udf in (("decode", decode_udf), ("compose", compose_udf), ("keyed", keyed_udf), ("fold", fold_udf), ("jamo", jamo_udf)):
         spark.udf.register(f"veil_{name}", udf)
     spark.udf.register("veil_latin", latin_udf(folder))
+    spark.udf.register("veil_align", align_udf(folder))
     spark.udf.register("veil_assess", assess_udf(folder))
     for name in TEXT_CHECKS:
         spark.udf.register(f"veil_{name.lower()}", verdict_udf(name, folder))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..sources.keywords import Dictionary, Keyword
 
 
+#: Latin keywords shorter than this are not looked for among letters that invisible marks part.
+REVEALED = 4
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -78,6 +82,19 @@ def present(text: Column | str, vocabulary: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, vocabulary)), lambda w: F.contains(t, w))
 
 
+def revealed(text: Column | str, words: Dictionary) -> Column:
+    """Keywords that a text holds only without its invisible marks."""
+    from ..functions.text import strip_zero_width
+
+    known = F.array(*[F.lit(k.word) for k in (*words.korean, *(x for x in words.latin if len(x.word) >= REVEALED))])
+    held = lambda t: F.filter(known, lambda w: F.contains(t, w))
+    both = lambda x: F.array_except(held(x["bare"]), held(x["raw"]))
+    t = _c(text)
+    bare = strip_zero_width(t)
+    pair = F.struct(F.lower(t).alias("raw"), F.lower(bare).alias("bare"))
+    return F.when(bare != t, let(pair, both)).otherwise(F.array().cast("array<string>"))
+
+
 def near(spans: Column, start: Column, end: Column, within: int = 30) -> Column:
     return F.exists(spans, lambda s: (start <= s["end"] + within) & (end >= s["start"] - within))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import text as X
-from ..functions.udfs import compose_udf, decode_udf, fold_udf, keyed_udf, latin_udf
+from ..functions.udfs import align_udf, compose_udf, decode_udf, fold_udf, keyed_udf, latin_udf
 from ..operators import assess as A
 from ..operators import matching as M
 from ..operators.verdicts import TEXT_CHECKS, verdict_udf
@@ -247,6 +247,16 @@ def latin_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.by_distinct(_whole(spark, sf_dir, LATTICE), "t", "words", latin_udf()).select("doc_id", "words")
 
 
+ALIGN = ["ㅋㅏㅈㅣㄴㅗ", "카ㅈㅣ노", "ㅂrㅋr라", "ㅅㅡㄹㄹㅗㅅㅁㅓㅅㅣㄴ", "카 지.노", "ㄱㅏㅈㅣㄴㅗ", "카a지노", "가나다"]
+
+
+@query()
+def jamo_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords by the jamo of whole texts, spelled out, in look-alikes or as syllables."""
+    df = A.by_distinct(_whole(spark, sf_dir, ALIGN), "t", "found", align_udf())
+    return df.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+
+
 def _check(name: str, which: int) -> None:
     cases = [c[0] for c in VERDICTS]
 
@@ -283,15 +293,12 @@ def proximity_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.explode(near).alias("cue"))
 
 
-_ZERO = ["카​지노 가입", "토토 카지노", "바⁠카­라 무료", "plain"]
-_Z = _sql_cases(_ZERO)
+_ZERO = ["카\u200b지\u200b노 가입", "토토 카지노", "바\u2060카\u00ad라 무료", "plain", "CA\u200bSINO bo\u200bnus", "be\u200bt po\u200bker poker"]
+_EN = "(VALUES " + ", ".join(f"({sql_text(k.word)})" for k in DICT.latin if len(k.word) >= M.REVEALED) + ") AS k(word)"
+_BARE = f"(SELECT doc_id, lower(t) AS t, lower({S.sub('t', S.char_class(T.ZERO_WIDTH))}) AS bare FROM {_sql_cases(_ZERO)})"
 
 
-@query(
-    f"SELECT doc_id, word FROM (SELECT doc_id, t, {S.sub('t', S.char_class(T.ZERO_WIDTH))} AS bare FROM {_Z}), {_KO} WHERE contains(bare, word) AND NOT contains(t, word)"
-)
+@query(f"SELECT doc_id, word FROM {_BARE}, (SELECT word FROM {_KO} UNION ALL SELECT word FROM {_EN}) WHERE contains(bare, word) AND NOT contains(t, word)")
 def zero_width_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords that only the text without invisible marks holds."""
-    words = lambda t: F.transform(F.filter(M.keyword_array(DICT.korean), lambda k: F.contains(t, k["word"])), lambda k: k["word"])
-    df = _whole(spark, sf_dir, _ZERO)
-    return df.select("doc_id", F.explode(F.array_except(M.let(X.strip_zero_width("t"), words), words(F.col("t")))).alias("word"))
+    """Keywords, Latin ones of four letters or more, that only the text without invisible marks holds."""
+    return _whole(spark, sf_dir, _ZERO).select("doc_id", F.explode(M.revealed(F.col("t"), DICT)).alias("word"))
