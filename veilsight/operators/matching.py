@@ -95,8 +95,14 @@ def revealed(text: Column | str, words: Dictionary) -> Column:
     return F.when(bare != t, let(pair, both)).otherwise(F.array().cast("array<string>"))
 
 
-def near(spans: Column, start: Column, end: Column, within: int = 30) -> Column:
-    return F.exists(spans, lambda s: (start <= s["end"] + within) & (end >= s["start"] - within))
+def beside(text: Column, word: Column, spans: Column, within: int = 30) -> Column:
+    """Whether a word touches the reach of one of the spans; only what lies about them is read."""
+
+    def about(s: Column) -> Column:
+        left = F.greatest(F.lit(0), s["start"] - within - F.length(word))
+        return F.contains(F.substring(text, left + 1, s["end"] + within + F.length(word) - left), word)
+
+    return F.exists(spans, about)
 
 
 def latin_boundary(word: str) -> str:

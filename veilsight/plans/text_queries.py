@@ -12,6 +12,7 @@ from ..operators import assess as A
 from ..operators import matching as M
 from ..operators.verdicts import TEXT_CHECKS, verdict_udf
 from ..sources.keywords import load
+from ..sources.tables import spread
 from . import sqlgen as S
 from .cases import DECODES, KEYED, PLAIN, VERDICTS
 from .registry import pick, query, sql_pick, sql_text, table
@@ -41,6 +42,11 @@ def _whole(spark: SparkSession, sf_dir: str, cases: list[str]) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(cases, F.col("doc_id")), F.lit(" "), "text").alias("t"))
 
 
+def _dealt(spark: SparkSession, sf_dir: str, cases: list[str]) -> DataFrame:
+    """The same, for work that is heavy in each row."""
+    return spread(_whole(spark, sf_dir, cases))
+
+
 def _fold(name: str, cases: list[str], column, sql: str) -> None:
     """Folds both a made-up case and the stored text."""
 
@@ -89,7 +95,7 @@ _LONGEST = f"(SELECT a.* FROM {_LIVE} a WHERE NOT EXISTS (SELECT 1 FROM {_LIVE}
 
 
 def _hits(spark: SparkSession, sf_dir: str, which) -> DataFrame:
-    df = _whole(spark, sf_dir, PLAIN).select("doc_id", F.explode(which(M.scan("t", DICT))).alias("h"))
+    df = _dealt(spark, sf_dir, PLAIN).select("doc_id", F.explode(which(M.scan("t", DICT))).alias("h"))
     return df.select("doc_id", "h.word", F.col("h.start").alias("s"), F.col("h.end").alias("e"))
 
 
@@ -111,7 +117,7 @@ def korean_scan_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT a.doc_id, a.word FROM {_LIVE} a WHERE NOT EXISTS (SELECT 1 FROM {_LIVE} b WHERE b.doc_id = a.doc_id AND length(b.word) > length(a.word) AND contains(b.word, a.word))")
 def keyword_subsume(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.transform(F.filter(M.scan("t", DICT), lambda x: ~x["excluded"]), lambda x: x["word"]))
-    return _whole(spark, sf_dir, PLAIN).select("doc_id", F.explode(M.subsume(words)).alias("word"))
+    return _dealt(spark, sf_dir, PLAIN).select("doc_id", F.explode(M.subsume(words)).alias("word"))
 
 
 @query("SELECT kw_id, lang, word, weight, category, jamo FROM (VALUES " + ", ".join(f"({k.kw_id}, '{k.lang}', {sql_text(k.word)}, {k.weight}, {sql_text(k.category)}, {sql_text(k.jamo)})" for k in (*DICT.korean, *DICT.latin)) + ") AS k(kw_id, lang, word, weight, category, jamo)")
@@ -201,7 +207,7 @@ _SJ = f"(SELECT doc_id, {S.lone_jamo('t')} AS j FROM {_sql_cases(_SCATTER)})"
 
 @query(f"SELECT doc_id, word FROM {_SJ}, {_KO} WHERE length(jamo) >= 4 AND contains(j, jamo) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(jamo) DESC, instr(j, jamo), kw_id) = 1")
 def scattered_jamo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole(spark, sf_dir, _SCATTER).select("doc_id", M.scattered("t", DICT).alias("word")).where("word is not null")
+    return _dealt(spark, sf_dir, _SCATTER).select("doc_id", M.scattered("t", DICT).alias("word")).where("word is not null")
 
 
 # ---------------------------------------------------------------- kernels
@@ -285,10 +291,8 @@ _FAR_HITS = _sql_places(f"(SELECT * FROM {_W}, {_KO} WHERE word IN ('카지노',
 )
 def proximity_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues within thirty characters of a keyword."""
-    df = _whole(spark, sf_dir, _FAR).select("doc_id", "t", M.longest(M.scan("t", DICT)).alias("hits"))
-    by = lambda hits: F.filter(
-        F.array(*map(F.lit, A.CUES)), lambda c: F.exists(M.places(F.col("t"), c), lambda p: M.near(hits, p, p + F.length(c), A.NEAR))
-    )
+    df = _dealt(spark, sf_dir, _FAR).select("doc_id", "t", M.longest(M.scan("t", DICT)).alias("hits"))
+    by = lambda hits: F.filter(F.array(*map(F.lit, A.CUES)), lambda c: M.beside(F.col("t"), c, hits, A.NEAR))
     near = M.let(F.col("hits"), by)
     return df.select("doc_id", F.explode(near).alias("cue"))
 
@@ -301,4 +305,4 @@ _BARE = f"(SELECT doc_id, lower(t) AS t, lower({S.sub('t', S.char_class(T.ZERO_W
 @query(f"SELECT doc_id, word FROM {_BARE}, (SELECT word FROM {_KO} UNION ALL SELECT word FROM {_EN}) WHERE contains(bare, word) AND NOT contains(t, word)")
 def zero_width_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords, Latin ones of four letters or more, that only the text without invisible marks holds."""
-    return _whole(spark, sf_dir, _ZERO).select("doc_id", F.explode(M.revealed(F.col("t"), DICT)).alias("word"))
+    return _dealt(spark, sf_dir, _ZERO).select("doc_id", F.explode(M.revealed(F.col("t"), DICT)).alias("word"))
